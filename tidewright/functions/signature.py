@@ -35,7 +35,8 @@ def signatures_of(paths: np.ndarray, depth: int) -> np.ndarray:
 def with_signature(df: DataFrame, depth: int, path: str = "path", name: str = "sig") -> DataFrame:
     """df with the signature of `path`; one Arrow pass, points move as flat doubles."""
     d = df.withColumn("_len", F.size(path)).withColumn("_flat", F.flatten(path))
-    schema = d.select(*[c for c in df.columns], F.lit(None).cast("array<double>").alias(name)).schema
+    columns = list(df.columns)
+    schema = d.select(*columns, F.lit(None).cast("array<double>").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,8 +51,8 @@ def with_signature(df: DataFrame, depth: int, path: str = "path", name: str = "s
                 stacked = np.stack([values[ends[i] : ends[i + 1]] for i in at]).reshape(len(at), length, size // length)
                 for i, s in zip(at, signatures_of(stacked, depth)):
                     out[i] = s
-            kept = [batch.column(c) for c in df.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.float64()))], names=[*df.columns, name])
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.float64()))], names=[*columns, name])
 
     return d.mapInArrow(run, schema)
 
@@ -76,12 +77,11 @@ def tensor_product(a: list[np.ndarray], b: list[np.ndarray], depth: int) -> list
 
 def shuffle_product(u: np.ndarray, p: int, v: np.ndarray, q: int, d: int) -> np.ndarray:
     """Shuffle of level p with level q: the sum over all ways to place the p letters of u among p + q."""
-    joint = np.multiply.outer(u.reshape((d,) * p), v.reshape((d,) * q)) if p or q else u * v
+    joint = np.multiply.outer(u.reshape((d,) * p), v.reshape((d,) * q))
     out = np.zeros((d,) * (p + q))
     for places in itertools.combinations(range(p + q), p):
         rest = [i for i in range(p + q) if i not in places]
-        axes = np.argsort([*places, *rest])
-        out += np.transpose(joint, axes)
+        out = out + np.transpose(joint, np.argsort([*places, *rest]).astype(int))
     return out.ravel()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +76,9 @@ def rebalancing_cost(ret: Column, weight: Column, fee_bps: float) -> Column:
 
 
 def entry_cost(mean_variance: float, spread_points: float = 2.0, periods_per_year: int = 8760) -> float:
-    """Variance cost of crossing half a spread in volatility points at the mean level."""
-    vol = (mean_variance * periods_per_year) ** 0.5
-    return ((vol + spread_points / 200) ** 2 - vol**2) / periods_per_year
+    """Variance per period that a spread of so many volatility points costs at the mean level: d(var) = 2 vol d(vol), from annual terms to a period's."""
+    annual_vol = math.sqrt(mean_variance * periods_per_year)
+    return 2 * annual_vol * (spread_points / 100) / periods_per_year
 
 
 def performance(df: DataFrame, series: str, at: str, net: str, turn: str, weight: str, per_year: int, shard_s: int) -> DataFrame:
@@ -90,12 +92,26 @@ def performance(df: DataFrame, series: str, at: str, net: str, turn: str, weight
     )
 
 
-def encoded_states(df: DataFrame, series: str, at: str, close: str, level: str, flag: str, lookback: int, shard_s: int) -> DataFrame:
-    """`state`: flag x 6 + tercile of the level x 2 + (momentum of the row before is up); rows without level or momentum are left out."""
-    steps = [lambda w: {"_mom": F.log(close) - F.lag(F.log(close), lookback).over(w)}, lambda w: {"_up": F.lag("_mom").over(w)}]
-    x = tercile_bins(with_frames(df, [series], at, [at], lookback + 1, 0, steps, shard_s), df, level, "_t")
-    x = x.where(F.col(level).isNotNull() & F.col("_up").isNotNull())
-    return x.withColumn("state", F.col(flag) * 6 + F.col("_t") * 2 + (F.col("_up") > 0).cast("int")).drop("_mom", "_up", "_t")
+def encoded_states(df: DataFrame, series: str, at: str, close: str, flag: str, lookback: int, shard_s: int, train: Column | None = None) -> DataFrame:
+    """`ret`, `vol_lag`, `state`: (flag of the row before x 3 + tercile of its volatility) x 2 + whether its momentum is above the median; edges and median are
+    those of the train rows (all without one). Rows whose lagged volatility or momentum is missing are left out."""
+    steps = [
+        lambda w: {"ret": F.log(close) - F.lag(F.log(close)).over(w), "_mom": F.log(close) - F.lag(F.log(close), lookback).over(w)},
+        lambda w: {"_vol": full(F.col("ret"), w, lookback, F.stddev_samp)},
+        lambda w: {"vol_lag": F.lag("_vol").over(w), "_mom_lag": F.lag("_mom").over(w), "_flag": F.coalesce(F.lag(flag).over(w), F.lit(0))},
+    ]
+    x = with_frames(df, [series], at, [at], lookback + 2, 0, steps, shard_s).where("vol_lag is not null and _mom_lag is not null")
+    fit = x.where(train) if train is not None else x
+    median = grouped_quantiles(fit, [], "_mom_lag", [0.5]).withColumnRenamed("q0", "_median")
+    x = tercile_bins(x, fit, "vol_lag", "_t").crossJoin(F.broadcast(median))  # one row
+    return x.withColumn("state", (F.col("_flag") * 3 + F.col("_t")) * 2 + (F.col("_mom_lag") > F.col("_median")).cast("int")).drop("_mom", "_vol", "_mom_lag", "_flag", "_t", "_median")
+
+
+def step_rewards(df: DataFrame, series: str, at: str, weight: str, cost: float, risk: float, shard_s: int) -> DataFrame:
+    """`reward`: weight times ret, less cost times the change of weight, less risk times the squared product of weight and lagged volatility."""
+    x = with_frames(df, [series], at, [at], 1, 0, lambda w: {"_turn": turnover(F.col(weight), w)}, shard_s)
+    m = F.col(weight)
+    return x.withColumn("reward", m * F.col("ret") - cost * F.col("_turn") - risk * (m * F.col("vol_lag")) * (m * F.col("vol_lag"))).drop("_turn")
 
 
 def baseline_positions(df: DataFrame, series: str, at: str, close: str, target: float, most: float, lookback: int, shard_s: int) -> DataFrame:

@@ -382,11 +382,29 @@ def x16_performance(spark: SparkSession, d: str) -> DataFrame:
     return p.select("n", r("sharpe", 6).alias("sharpe"), r("max_drawdown", 6).alias("max_drawdown"), r("cumulative", 6).alias("cumulative"), r("turnover").alias("turnover"), r("active").alias("active"))
 
 
-@query(f"""with {SQL_VS}, x as (select ts, close, flag_lag, strike, ln(close) - lag(ln(close), 20) over (order by ts) as mom from s), q as (select quantile_cont(strike, 1.0 / 3) as a, quantile_cont(strike, 2.0 / 3) as b from x)
-  select ts, flag_lag * 6 + ((strike >= a)::int + (strike >= b)::int) * 2 + (lag(mom) over (order by ts) > 0)::int as state from x, q qualify strike is not null and lag(mom) over (order by ts) is not null""")
+SQL_MDP = f"""{DAILY}, x as (select ts, (volume > 8)::int as flag, ln(close) - lag(ln(close)) over (order by ts) as ret, ln(close) - lag(ln(close), 20) over (order by ts) as mom from d),
+  y as (select *, case when count(ret) over f = 20 then stddev_samp(ret) over f end as vol from x window f as (order by ts rows between 19 preceding and current row)),
+  z as (select ts, ret, lag(vol) over (order by ts) as vol_lag, lag(mom) over (order by ts) as mom_lag, coalesce(lag(flag) over (order by ts), 0) as flag_lag from y), v as (select * from z where vol_lag is not null and mom_lag is not null),
+  q as (select quantile_cont(vol_lag, 1.0 / 3) as a, quantile_cont(vol_lag, 2.0 / 3) as b, median(mom_lag) as m from v where ts < timestamp '1999-01-01'),
+  s as (select ts, ret, vol_lag, (flag_lag * 3 + (vol_lag >= a)::int + (vol_lag >= b)::int) * 2 + (mom_lag > m)::int as state from v, q)"""
+
+
+def mdp_states(spark: SparkSession, d: str) -> DataFrame:
+    b = daily(spark, d).withColumn("flag", (F.col("volume") > 8).cast("int"))
+    return T.encoded_states(b, "series", "ts", "close", "flag", 20, YEAR, F.col("ts") < F.lit("1999-01-01").cast("timestamp_ntz"))
+
+
+@query(f"with {SQL_MDP}, w as (select *, case when state % 2 = 1 then 1.0 else -1.0 end as w from s) select ts, state, round(w * ret - 0.0005 * abs(w - lag(w, 1, 0.0) over (order by ts)) - 0.1 * power(w * vol_lag, 2), 8) as reward from w")
 def x17_states(spark: SparkSession, d: str) -> DataFrame:
-    v = variance_rows(spark, d)
-    return T.encoded_states(v, "series", "ts", "close", "strike", "flag_lag", 20, YEAR).select("ts", "state")
+    x = mdp_states(spark, d).withColumn("w", F.when(F.col("state") % 2 == 1, 1.0).otherwise(-1.0))
+    return T.step_rewards(x, "series", "ts", "w", 0.0005, 0.1, YEAR).select("ts", "state", r("reward").alias("reward"))
+
+
+@query()
+def x18_q_policy(spark: SparkSession, d: str) -> DataFrame:
+    from tidewright.models.sequential import q_policy
+
+    return q_policy(mdp_states(spark, d), ["series"], "ts", "state", "ret", "vol_lag")
 
 
 @query(f"""with {DAILY}, x as (select ts, ln(close) - lag(ln(close)) over (order by ts) as ret, ln(close) - lag(ln(close), 20) over (order by ts) as mom from d), y as (select *, case when count(ret) over f = 20 then stddev_samp(ret) over f end as vol from x window f as (order by ts rows between 19 preceding and current row))

@@ -97,11 +97,11 @@ def parkinson(high: Column, low: Column) -> Column:
 
 def variance_increment(b: DataFrame, method: str = "close", key: str = "series") -> DataFrame:
     """b with `ret` and `var`: the squared log return (nought in the first row), or for method `gk` half the squared log range less (2 ln 2 - 1) squared log body."""
+    if method not in ("close", "gk"):
+        raise ValueError(f"unknown method {method}")
     rows = with_frames(b, [key], "ts", ["ts"], 1, 0, lambda w: {"ret": F.coalesce(F.log("close") - F.log(F.lag("close").over(w)), F.lit(0.0))})
     if method == "close":
         return rows.withColumn("var", F.col("ret") * F.col("ret"))
-    if method != "gk":
-        raise ValueError(f"unknown method {method}")
     span, body = F.log(F.col("high") / F.col("low")), F.log(F.col("close") / F.col("open"))
     return rows.withColumn("var", 0.5 * span * span - (2 * LN2 - 1) * body * body)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators.shards import count_halo
-from tidewright.session import micros, small
+from tidewright.session import join_on, micros, small
 
 DAY_S = 86_400
 Exprs = Callable[[WindowSpec], dict[str, Column]]
@@ -47,7 +47,7 @@ def with_running(df: DataFrame, keys: list[str], at: str, order: list[str], sums
     totals = totals.select(*keys, "_shard", *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.max(f"_x_{n}").over(earlier).alias(f"_x_{n}") for n in maxima])
     w = W.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(w) for n in sums} | {f"_y_{n}": F.max(f"_m_{n}").over(w) for n in maxima})
-    out = out.join(small(totals), [*keys, "_shard"])
+    out = join_on(out, small(totals), [*keys, "_shard"])
     return out.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.greatest(f"_y_{n}", f"_x_{n}").alias(n) for n in maxima])
 
 
@@ -55,7 +55,7 @@ def with_row_numbers(df: DataFrame, keys: list[str], at: str, order: list[str],
     """df with `name`: 0, 1, 2, ... within each series in order, and `<name>_of`: the rows of the series."""
     out = with_running(df, keys, at, order, {name: F.lit(1)}, shard_s=shard_s)
     count = df.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.count("*").alias(f"{name}_of"))
-    return out.withColumn(name, F.col(name) - 1).join(small(count), keys)
+    return join_on(out.withColumn(name, F.col(name) - 1), small(count), keys)
 
 
 def full(value: Column, w: WindowSpec, n: int, agg: Callable[[Column], Column], count: Column | None = None) -> Column:

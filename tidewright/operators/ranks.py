@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.session import real, small
+from tidewright.session import join_on, real, small
 
 
 def value_class(v: Column) -> Column:
@@ -29,7 +29,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, sums: dict[str, Colu
     names = ["_n", *sums]
     per = per.select(*keys, "_c", *[F.coalesce(F.sum(n).over(along), F.lit(0)).alias(f"_b{i}") for i, n in enumerate(names)], *[F.sum(n).over(whole).alias(f"_t{i}") for i, n in enumerate(names)])
     inside = W.partitionBy(*keys, "_c").orderBy("_v")
-    out = counts.join(per, [*keys, "_c"])
+    out = join_on(counts, per, [*keys, "_c"])
     label = lambda n: "" if n == "_n" else n
     return out.select(
         *keys, "_v", *names, *[(F.col(f"_b{i}") + F.sum(n).over(inside)).alias(f"{label(n)}_upto") for i, n in enumerate(names)], *[F.col(f"_t{i}").alias(f"{label(n)}_total") for i, n in enumerate(names)]

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.session import checkpointed, scratch, small
 
@@ -136,12 +137,13 @@ def _coded(df: DataFrame, entity: Column, number: Column, order: list[Column], c
 
 def _pass(coded: DataFrame, state: DataFrame | None, keep_bits: bool) -> DataFrame:
     by = ["_code", "_high", "_kind", "_order"]
-    local = coded.sortWithinPartitions(*by).mapInArrow(_claims(False, False), coded.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in coded.schema])
+    local = coded.sortWithinPartitions(*by).mapInArrow(_claims(False, False), schema)
     if state is not None:
         local = local.unionByName(state, allowMissingColumns=True)
     route = F.when(F.col("_kind") == SETTLED, F.xxhash64("_order")).otherwise(F.xxhash64("_code", "_high"))
     routed = local.withColumn("_route", route).repartition("_route").drop("_route")
-    return routed.sortWithinPartitions(*by).mapInArrow(_claims(True, keep_bits), routed.schema)
+    return routed.sortWithinPartitions(*by).mapInArrow(_claims(True, keep_bits), schema)
 
 
 def mark_repeats(df: DataFrame, entity: Column, number: Column, order: list[Column]) -> DataFrame:

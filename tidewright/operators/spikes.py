@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,29 +34,35 @@ def exact_median(values: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def tail_cutoffs(moves: DataFrame, risk: float, tail: float) -> DataFrame:
-    """(symbol, slot, scale, cutoff): peaks over threshold on seasonal residuals.
+    """(_s, slot, scale, cutoff): peaks over threshold on seasonal residuals.
 
-    The residual of a move is its size over the usual size of its slot (hour of the day); above the `tail` quantile u the excesses get a
-    generalised Pareto tail by the moment estimator of log excesses, which a few wild values do not dominate; the cutoff is the residual
-    that a sound move passes with probability `risk`. Everything is counts and sums by symbol."""
+    The residual of a move is its size over the usual size of its slot (hour of the day, moves cut at 20 usual ones). Its excesses over the quantile of
+    tail probability 4 `tail` get a generalised Pareto tail whose shape and scale come from the spacings of the quantiles at 4, 2 and 1 `tail`, so
+    that wild values, which are rarer than `tail`, do not set the cutoff that is to find them. The cutoff is the residual that a sound move passes with
+    probability `risk`. Everything is counts by symbol and narrow logarithmic classes."""
     scale = moves.groupBy("_s", "slot").agg(F.avg(F.least("move", 20 * F.col("usual"))).alias("scale"))
     res = moves.join(small(scale), ["_s", "slot"]).where("scale > 0 and move > 0").select("_s", (F.col("move") / F.col("scale")).alias("z"))
     hist = res.groupBy("_s", F.floor(F.log("z") * 64).alias("c")).agg(F.count("*").alias("n"))
     hist = hist.select("_s", "c", "n", F.sum("n").over(W.partitionBy("_s").orderBy(F.desc("c"))).alias("above"), F.sum("n").over(W.partitionBy("_s")).alias("total"))
-    u = hist.groupBy("_s").agg(F.exp(F.max(F.when(F.col("above") >= F.ceil(F.col("total") * tail), F.col("c"))) / 64).alias("u"), F.max("total").alias("total"))
-    over = res.join(small(u), "_s").where("z > u").withColumn("e", F.log(F.col("z") / F.col("u")))
-    fit = over.groupBy("_s", "u", "total").agg(F.count("*").alias("k"), F.avg("e").alias("m1"), F.avg(F.col("e") * F.col("e")).alias("m2"))
-    left = 1 - 0.5 / F.greatest(1 - F.col("m1") * F.col("m1") / F.col("m2"), F.lit(0.05))
-    shape = F.greatest(F.least(F.col("m1") + left, F.lit(0.9)), F.lit(-0.5))
-    sigma = F.col("u") * F.col("m1") * (1 - F.least(left, F.lit(0.0)))
-    ratio = F.col("k") / (F.col("total") * risk)
-    level = F.col("u") + F.when(F.abs(shape) < 1e-6, sigma * F.log(ratio)).otherwise(sigma / shape * (F.pow(ratio, shape) - 1))
-    return scale.join(small(fit.select("_s", F.greatest(level, F.col("u")).alias("cutoff"))), "_s", "left")
+
+    def level(k: int) -> Column:
+        """The residual of tail probability k `tail`, linear within its class."""
+        want = F.col("total") * (k * tail)
+        inside = (F.col("above") >= want) & (F.col("above") - F.col("n") < want)
+        return F.max(F.when(inside, F.exp((F.col("c") + (F.col("above") - want) / F.col("n")) / 64)))
+
+    q = hist.groupBy("_s").agg(level(1).alias("q1"), level(2).alias("q2"), level(4).alias("q4"))
+    ratio = F.try_divide(F.col("q1") - F.col("q2"), F.col("q2") - F.col("q4"))
+    shape = F.greatest(F.least(F.log(F.when(ratio > 0, ratio)) / math.log(2), F.lit(0.5)), F.lit(-0.5))
+    shape = F.when(F.abs(shape) < 1e-6, F.lit(1e-6)).otherwise(F.coalesce(shape, F.lit(1e-6)))
+    sigma = (F.col("q2") - F.col("q4")) * shape / (F.pow(F.lit(2.0), shape) - 1)
+    cutoff = F.col("q4") + sigma / shape * (F.pow(F.lit(4 * tail / risk), shape) - 1)
+    return scale.join(small(q.select("_s", F.greatest(cutoff, F.col("q1")).alias("cutoff"))), "_s", "left")
 
 
 def flag_bars(
     df: DataFrame, symbol: str, at: str, bar_id: str, prices: tuple[str, str, str, str] = ("open_px", "high_px", "low_px", "close_px"),
-    moves_away: float = 20.0, apart: int = 5, stuck: int = 6, liveliness: float = 0.1, risk: float = 1e-4, tail: float = 0.02,
+    moves_away: float = 20.0, apart: int = 5, stuck: int = 6, liveliness: float = 0.1, risk: float = 1e-4, tail: float = 0.04,
 ) -> DataFrame:
     """One row for each bar: bar_id, symbol, at, `impossible`, `spike`, `stuck`, `tail` (its residual passes the fitted cutoff), `residual`, `cutoff`.
 

@@ -69,6 +69,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys match each other; the keys and then the other columns of both sides, none of which may clash."""
+    renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"_on_{k}"])
+    return left.join(renamed, condition, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def micros(col: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone; zone-less time means UTC (the session zone must be UTC)."""
     return F.unix_micros(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp"))

@@ -98,6 +98,7 @@ SCRIPTS = [
     ("th", re.compile(r"[\u0e00-\u0e7f]")), ("ko", re.compile(r"[\uac00-\ud7a3]")), ("ja", re.compile(r"[\u3040-\u30ff]")), ("hi", re.compile(r"[\u0900-\u097f]")),
     ("ar", re.compile(r"[\u0600-\u06ff]")), ("ru", re.compile(r"[\u0400-\u04ff]")), ("zh", re.compile(r"[\u4e00-\u9fff]")),
 ]
+ANY_SCRIPT = re.compile(r"[\u0400-\u04ff\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7a3]")
 LATIN = re.compile(r"[A-Za-zÀ-ÿ]+")
 
 
@@ -106,6 +107,7 @@ class Rule:
     breaks: bool
     before: re.Pattern | None
     after: re.Pattern | None
+    reach: int = 40  # characters before the position that `before` can start at
 
 
 def _compiled(lang: str) -> list[Rule]:
@@ -114,7 +116,7 @@ def _compiled(lang: str) -> list[Rule]:
         if name in ("abbr", "shared"):
             own = (ABBREVIATIONS[lang] if name == "abbr" else SHARED).split()
             words = "|".join(sorted((re.escape(w) for w in own), key=len, reverse=True))
-            rules.append(Rule(NO, re.compile(rf"(?:^|[\s(\[\"“„«»'’.,/-])(?:{words})\.\Z"), None))
+            rules.append(Rule(NO, re.compile(rf"(?:^|[\s(\[\"“„«»'’.,/-])(?:{words})\.\Z"), None, max(map(len, own)) + 2))
         else:
             rules += [Rule(b, re.compile(f"(?:{x})\\Z") if x else None, re.compile(y) if y else None) for b, x, y in TABLES[name]]
     return rules
@@ -125,22 +127,20 @@ RULES = {lang: _compiled(lang) for lang in CASCADES}
 
 def block_language(block: str, hint: str | None) -> str:
     """Of the characters themselves: the script decides where it can, frequent words among languages in Latin script; a tie goes to the hint."""
-    if block.isascii():
-        best = None
-    else:
+    best = None
+    if not block.isascii() and ANY_SCRIPT.search(block):
         counts = {name: len(r.findall(block)) for name, r in SCRIPTS}
         if counts["ja"]:
             counts["ja"] += counts["zh"]
         best = max(counts, key=counts.get)
         others = sum(counts.values()) - (counts["zh"] if counts["ja"] else 0)
-        if not counts[best] or (counts[best] < 0.3 * (counts[best] + sum(map(len, LATIN.findall(block)))) and counts[best] <= others):
-            latin = sum(map(len, LATIN.findall(block)))
-            if not counts[best] or latin > 2 * counts[best]:
-                best = None
+        latin = sum(map(len, LATIN.findall(block)))
+        if counts[best] < 0.3 * (counts[best] + latin) and counts[best] <= others and latin > 2 * counts[best]:
+            best = None
     if best:
         return best
-    words = block.lower().split()
-    votes = {lang: sum(w in own for w in words) for lang, own in WORDS.items()}
+    words = set(block.lower().split())
+    votes = {lang: len(own & words) for lang, own in WORDS.items()}
     top = max(votes.values())
     ties = [lang for lang, v in votes.items() if v == top]
     return hint if hint in ties else ties[0]

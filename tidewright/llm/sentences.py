@@ -23,10 +23,15 @@ THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])\s+(?=[\u0e01-\u0e3a\u0
 LANGUAGES = {"eng": "en", "ger": "de", "jpn": "ja", "jp": "ja", "kr": "ko", "chi": "zh"}
 
 
-def _breaks(block: str, lang: str) -> list[int]:
+def _breaks(block: str, hint: str) -> list[int]:
     """Positions in a block of running text where a sentence ends."""
-    out = [m.start() for m in LINE_NUMBER.finditer(block)]
+    out = [m.start() for m in LINE_NUMBER.finditer(block)] if "\n" in block else []
     n = len(block)
+    first = SPOT.search(block)
+    thai = not block.isascii() and THAI_GAP.search(block)
+    if not thai and (first is None or first.end() >= n):
+        return out  # nothing to decide, so the language does not matter
+    lang = block_language(block, hint)
     quoted = [(m.start(), m.end()) for m in QUOTED.finditer(block)] if not block.isascii() or '"' in block else []
     q, rules = 0, RULES[lang]
     for m in SPOT.finditer(block):
@@ -49,7 +54,7 @@ def _breaks(block: str, lang: str) -> list[int]:
         else:
             before = block[max(0, start - 40) : at]
         for rule in rules:
-            if (rule.before is None or rule.before.search(before)) and (rule.after is None or rule.after.match(block, at)):
+            if (rule.before is None or rule.before.search(before, max(0, len(before) - rule.reach))) and (rule.after is None or rule.after.match(block, at)):
                 if rule.breaks:
                     out.append(at)
                 break
@@ -88,7 +93,7 @@ def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int,
             if claim:
                 cuts = _claims(block, int(claim.group(1)) if claim.group(1) else None)
             else:
-                cuts = _breaks(block, block_language(block, hint))
+                cuts = _breaks(block, hint)
             last = 0
             for cut in [*cuts, len(block)]:
                 piece = block[last:cut]

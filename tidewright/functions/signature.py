@@ -33,7 +33,8 @@ def signatures_of(paths: np.ndarray, depth: int) -> np.ndarray:
 
 
 def with_signature(df: DataFrame, depth: int, path: str = "path", name: str = "sig") -> DataFrame:
-    """df with the signature of `path`; one Arrow pass, points move as flat doubles."""
+    """df with the signature of `path`; one Arrow pass, points move as flat doubles. Null for a null
+    path, for fewer than two points, and for a path with a null or NaN coordinate."""
     d = df.withColumn("_len", F.size(path)).withColumn("_flat", F.flatten(path))
     columns = list(df.columns)
     schema = d.select(*columns, F.lit(None).cast("array<double>").alias(name)).schema
@@ -50,7 +51,7 @@ def with_signature(df: DataFrame, depth: int, path: str = "path", name: str = "s
                 at = np.flatnonzero((lens == length) & (sizes == size))
                 stacked = np.stack([values[ends[i] : ends[i + 1]] for i in at]).reshape(len(at), length, size // length)
                 for i, s in zip(at, signatures_of(stacked, depth)):
-                    out[i] = s
+                    out[i] = s if np.isfinite(s).all() else None
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.float64()))], names=[*columns, name])
 

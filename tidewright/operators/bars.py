@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.safe import log_ratio
 from tidewright.operators.frames import with_frames
 from tidewright.session import micros
 
@@ -91,7 +92,7 @@ def realized_variance(ticks: DataFrame, fine_s: int = 60, coarse_s: int = 300, k
 
 def parkinson(high: Column, low: Column) -> Column:
     """Variance of an interval from its range."""
-    r = F.log(high / low)
+    r = log_ratio(high, low)
     return r * r / (4 * LN2)
 
 
@@ -102,7 +103,7 @@ def variance_increment(b: DataFrame, method: str = "close", key: str = "series")
     rows = with_frames(b, [key], "ts", ["ts"], 1, 0, lambda w: {"ret": F.coalesce(F.log("close") - F.log(F.lag("close").over(w)), F.lit(0.0))})
     if method == "close":
         return rows.withColumn("var", F.col("ret") * F.col("ret"))
-    span, body = F.log(F.col("high") / F.col("low")), F.log(F.col("close") / F.col("open"))
+    span, body = log_ratio(F.col("high"), F.col("low")), log_ratio(F.col("close"), F.col("open"))
     return rows.withColumn("var", 0.5 * span * span - (2 * LN2 - 1) * body * body)
 
 

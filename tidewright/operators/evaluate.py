@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions.safe import ratio
 from tidewright.operators.frames import DAY_S, ahead, changed, full, runs, with_frames
 from tidewright.operators.ranks import grouped_quantiles
 from tidewright.session import micros, small
@@ -103,8 +104,8 @@ def forward_excursions(bars: DataFrame, series: str, at: str, lags: list[int]) -
         out = {}
         for k in lags:
             top, bottom = ahead(F.col("high"), w, k, F.max), ahead(F.col("low"), w, k, F.min)
-            out[f"ret_{k}"] = F.abs(F.lead("close", k).over(w) / F.col("close") - 1)
-            out[f"exc_{k}"] = F.greatest(top / F.col("close") - 1, 1 - bottom / F.col("close"))
+            out[f"ret_{k}"] = F.abs(ratio(F.lead("close", k).over(w), F.col("close")) - 1)
+            out[f"exc_{k}"] = F.greatest(ratio(top, F.col("close")) - 1, 1 - ratio(bottom, F.col("close")))
         return out
 
     return with_frames(bars, [series], at, [at], 0, max(lags), exprs)

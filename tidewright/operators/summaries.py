@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.safe import log_ratio
 from tidewright.operators.frames import with_row_numbers
 from tidewright.operators.ranks import grouped_quantiles
 from tidewright.session import micros, real
@@ -19,7 +20,7 @@ def window_features(rows: DataFrame, keys: list[str]) -> DataFrame:
     x = rows.withColumns({"_ret": lc - F.lag(lc).over(w), "_lc": lc, "_top": F.max(lc).over(w.rowsBetween(W.unboundedPreceding, 0))})
     return x.groupBy(*keys, "window_id").agg(
         F.stddev_pop("_ret").alias("vol"), F.skewness("_ret").alias("skew"), F.kurtosis("_ret").alias("kurt"), (F.max_by("_lc", "pos") - F.min_by("_lc", "pos")).alias("net_return"),
-        F.min(F.col("_lc") - F.col("_top")).alias("drawdown"), F.avg("volume").alias("mean_volume"), F.avg(F.log(F.col("high") / F.col("low"))).alias("mean_log_range"),
+        F.min(F.col("_lc") - F.col("_top")).alias("drawdown"), F.avg("volume").alias("mean_volume"), F.avg(log_ratio(F.col("high"), F.col("low"))).alias("mean_log_range"),
     )
 
 
@@ -30,10 +31,10 @@ def summary_features(rows: DataFrame, keys: list[str], length: int) -> DataFrame
     lc = F.log("close")
     x = rows.withColumns({"_ret": F.coalesce(lc - F.lag(lc).over(w), F.lit(0.0)), "_lc": lc, "_top": F.max(lc).over(w.rowsBetween(W.unboundedPreceding, 0))})
     moved = F.sum(F.abs("_ret"))
-    hl = F.log(F.col("high") / F.col("low"))
+    hl = log_ratio(F.col("high"), F.col("low"))
     return x.groupBy(*keys, "window_id").agg(
         F.sum("_ret").alias("ret"), F.sqrt(F.sum(F.col("_ret") * F.col("_ret"))).alias("rv"), (F.max("_lc") - F.min("_lc")).alias("span"), F.min(F.col("_lc") - F.col("_top")).alias("drawdown"),
-        F.when(moved > 0, F.abs(F.sum("_ret")) / moved).otherwise(0.0).alias("efficiency"), F.log1p(F.sum("volume")).alias("log_volume"), F.stddev_pop(F.log1p("volume")).alias("log_volume_std"),
+        F.when(moved > 0, F.try_divide(F.abs(F.sum("_ret")), moved)).otherwise(0.0).alias("efficiency"), F.log1p(F.sum("volume")).alias("log_volume"), F.stddev_pop(F.log1p("volume")).alias("log_volume_std"),
         F.try_divide(F.sum(F.when(F.col("pos") < length // 2, F.col("volume"))), F.sum("volume")).alias("first_half"), F.try_divide(F.sum("signed_flow"), F.sum("dollar_volume")).alias("imbalance"),
         F.sum(hl).alias("range_sum"), F.stddev_pop(hl).alias("range_std"),
     )
@@ -48,7 +49,7 @@ def tick_features(ticks: DataFrame, width_s: int, key: str = "series") -> DataFr
     x = x.withColumn("_r", F.coalesce(F.log("price") - F.log(F.lag("price").over(w)), F.lit(0.0)))
     o = F.struct("ts", "tick_id", "price")
     return x.groupBy(key, F.col("_b").alias("bar")).agg(
-        (100 * F.log(F.max(o)["price"] / F.min(o)["price"])).alias("ret"), (100 * F.sqrt(F.sum(F.col("_r") * F.col("_r")))).alias("rv"), (100 * F.log(F.max("price") / F.min("price"))).alias("span"),
+        (100 * log_ratio(F.max(o)["price"], F.min(o)["price"])).alias("ret"), (100 * F.sqrt(F.sum(F.col("_r") * F.col("_r")))).alias("rv"), (100 * log_ratio(F.max("price"), F.min("price"))).alias("span"),
         (100 * F.try_divide(F.sum("signed_notional"), F.sum("notional"))).alias("imbalance"), F.sum("notional").alias("notional"),
     ).withColumnRenamed("bar", "ts")
 

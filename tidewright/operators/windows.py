@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.safe import log_ratio
 from tidewright.operators.frames import with_row_numbers
 
 
@@ -40,8 +41,8 @@ def channels(rows: DataFrame, keys: list[str], at: str, wanted: list[str]) -> Da
         "volume": lambda: (F.col("volume").cast("double"), False),
         "log_volume": lambda: (F.log1p("volume"), False),
         "log_volume_change": lambda: (F.coalesce(F.log1p("volume") - F.log1p(F.lag("volume").over(w)), none), True),
-        "log_range": lambda: (F.log(F.col("high") / F.col("low")), False),
-        "overnight_gap": lambda: (F.coalesce(F.log(F.col("open") / F.lag("close").over(w)), none), False),
+        "log_range": lambda: (log_ratio(F.col("high"), F.col("low")), False),
+        "overnight_gap": lambda: (F.coalesce(log_ratio(F.col("open"), F.lag("close").over(w)), none), False),
     }
     unknown = [c for c in wanted if c not in made]
     if unknown:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions.safe import log_ratio
 from tidewright.operators import bars as B
 from tidewright.operators.frames import with_frames, with_row_numbers
 from tidewright.operators.ranks import grouped_quantiles
@@ -102,7 +103,7 @@ def proj8_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {sql_bars('1 hour')} select ts, greatest(round(ln(close / open), 8), 1e-4) as floored from b where least(open, close) > 0")
 def proj9_floor(spark: SparkSession, d: str) -> DataFrame:
-    return tick_bars(spark, d).where(F.least("open", "close") > 0).select("ts", F.greatest(r(F.log(F.col("close") / F.col("open"))), F.lit(1e-4)).alias("floored"))
+    return tick_bars(spark, d).where(F.least("open", "close") > 0).select("ts", F.greatest(r(log_ratio(F.col("close"), F.col("open"))), F.lit(1e-4)).alias("floored"))
 
 
 # bars and aggregates
@@ -120,7 +121,7 @@ def a2_filled_bars(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {sql_bars('5 minutes', per_user=True)} select series, ts, trades, round(signed_flow / dollar_volume, 8) as imbalance from b where dollar_volume > 0")
 def a3_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return tick_bars(spark, d, 300, True).where("dollar_volume > 0").select("series", "ts", "trades", r(F.col("signed_flow") / F.col("dollar_volume")).alias("imbalance"))
+    return tick_bars(spark, d, 300, True).where("dollar_volume > 0").select("series", "ts", "trades", r(F.try_divide("signed_flow", "dollar_volume")).alias("imbalance"))
 
 
 SQL_RV = f"""{sql_bars('1 minute', 'm')}, g1 as (select unnest(generate_series(min(ts), max(ts), interval 1 minute)) as ts from m),

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import paths as P
+from tidewright.functions.safe import log_ratio
 from tidewright.functions.signature import level_slice, signature_dim, with_signature
 from tidewright.models import oneclass, sequential, synthetic
 from tidewright.operators import scores as M
+from tidewright.operators.bars import valid_bars
 from tidewright.operators.frames import with_frames
 from tidewright.operators.windows import channels, collect_paths
 from tidewright.plans import forecast, novelty
@@ -68,7 +70,7 @@ def g2_base_path(spark: SparkSession, d: str) -> DataFrame:
 
     w = W.partitionBy("series", "window_id").orderBy("pos")
     run, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("series", "window_id")
-    x = hourly_windows(spark, d).withColumns({"c0": F.log(F.col("close") / F.first("close").over(run)), "c1": F.log1p(F.sum("volume").over(run)), "c2": F.sum("signed_flow").over(run) / F.sum("dollar_volume").over(whole), "c3": F.log(F.col("high") / F.col("low"))})
+    x = hourly_windows(spark, d).withColumns({"c0": log_ratio(F.col("close"), F.first("close").over(run)), "c1": F.log1p(F.sum("volume").over(run)), "c2": F.try_divide(F.sum("signed_flow").over(run), F.sum("dollar_volume").over(whole)), "c3": log_ratio(F.col("high"), F.col("low"))})
     return points(collect_paths(x, ["series"], "ts", [F.col(f"c{i}") for i in range(4)]))
 
 
@@ -82,7 +84,7 @@ def g3_tick_windows(spark: SparkSession, d: str) -> DataFrame:
     t = ticks(spark, d).where("price > 0").withColumn("window_id", F.date_trunc("day", "ts").cast("timestamp_ntz"))
     w = W.partitionBy("series", "window_id").orderBy("ts", "tick_id")
     run, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("series", "window_id")
-    x = t.withColumns({"pos": F.row_number().over(w) - 1, "c0": 100 * F.log(F.col("price") / F.first("price").over(run)), "c1": F.sum("signed_notional").over(run) / F.sum("notional").over(whole)})
+    x = t.withColumns({"pos": F.row_number().over(w) - 1, "c0": 100 * log_ratio(F.col("price"), F.first("price").over(run)), "c1": F.try_divide(F.sum("signed_notional").over(run), F.sum("notional").over(whole))})
     p = collect_paths(x, ["series"], "ts", [F.col("c0"), F.col("c1")]).where(F.size("path") >= 50)
     p = p.select("window_id", F.posexplode(P.resampled(F.col("path"), 8)).alias("pos", "p"))
     return p.select(F.col("window_id").alias("ts"), "pos", r(F.get("p", F.lit(0))).alias("price"), r(F.get("p", F.lit(1))).alias("imbalance"))
@@ -184,7 +186,7 @@ CFG = novelty.HorizonConfig("one_hour", 12, 4, 3, ("time", "log_return", "volume
 
 @query()
 def g17_novelty(spark: SparkSession, d: str) -> DataFrame:
-    return novelty.novelty(tick_bars(spark, d), in_periods(spark, d), CFG)
+    return novelty.novelty(valid_bars(tick_bars(spark, d)), valid_bars(in_periods(spark, d)), CFG)
 
 
 SPEC = forecast.ForecastSpec("7d", 30, 7, (1, 7, 30), ("log_return", "volume", "log_range"), points=10, depth=2)
@@ -220,10 +222,10 @@ def m3_tail_risk_machine(spark: SparkSession, d: str) -> DataFrame:
     from tidewright.models.cvar import tail_risk_scores
 
     cfg = novelty.HorizonConfig("one_hour", 12, 4, 2, ("time", "log_return"))
-    ref = novelty.raw_paths(in_periods(spark, d), cfg, ["series", "period"])
+    ref = novelty.raw_paths(valid_bars(in_periods(spark, d)), cfg, ["series", "period"])
     scale = novelty.scale_of(ref)
     prepared = lambda p: p.withColumn("path", P.add_basepoint(P.normalize(F.col("path"), scale)))
-    return tail_risk_scores(prepared(novelty.raw_paths(tick_bars(spark, d), cfg)), prepared(ref), 2).select("window_id", "end", "score")
+    return tail_risk_scores(prepared(novelty.raw_paths(valid_bars(tick_bars(spark, d)), cfg)), prepared(ref), 2).select("window_id", "end", "score")
 
 
 @query(f"""with {SQL_V}, x as (select i, sum(v) as s from e where label = 0 group by 1), y as (select i, sum(v) as s from e where label = 1 group by 1), q as (select count(distinct vec_id) filter (label = 0) as m, count(distinct vec_id) filter (label = 1) as n, sum(v * v) filter (label = 0) as xq, sum(v * v) filter (label = 1) as yq from e)
@@ -252,12 +254,12 @@ def m6_volatility_z(spark: SparkSession, d: str) -> DataFrame:
 
     v = window_features(hourly_windows(spark, d), ["series"]).select("window_id", "vol")
     f = v.where("window_id < 100").agg(F.avg("vol").alias("m"), F.stddev_pop("vol").alias("s"))
-    return v.crossJoin(F.broadcast(f)).select("window_id", r(F.abs(F.col("vol") - F.col("m")) / F.col("s"), 6).alias("score"))  # one row
+    return v.crossJoin(F.broadcast(f)).select("window_id", r(F.try_divide(F.abs(F.col("vol") - F.col("m")), F.col("s")), 6).alias("score"))  # one row
 
 
 def hourly_returns(spark: SparkSession, d: str) -> DataFrame:
-    x = with_frames(tick_bars(spark, d), ["series"], "ts", ["ts"], 1, 0, lambda w: {"ret": F.log("close") - F.lag(F.log("close")).over(w)}, 5 * DAY)
-    return x.withColumn("range", F.log(F.col("high") / F.col("low"))).where("ret is not null")
+    x = with_frames(valid_bars(tick_bars(spark, d)), ["series"], "ts", ["ts"], 1, 0, lambda w: {"ret": F.log("close") - F.lag(F.log("close")).over(w)}, 5 * DAY)
+    return x.withColumn("range", log_ratio(F.col("high"), F.col("low"))).where("ret is not null")
 
 
 @query()
@@ -431,7 +433,7 @@ def m28_bootstrap(spark: SparkSession, d: str) -> DataFrame:
   l as (select v, lag(v) over (order by ts) as l1, lag(v, 2) over (order by ts) as l2 from e) select round(avg(v) / sqrt((var_pop(v) + 2 * (2.0 / 3) * covar_samp(v, l1) + 2 * (1.0 / 3) * covar_samp(v, l2)) / count(v)), 6) as dm, count(v) as n from l""")
 def m29_forecast_comparison(spark: SparkSession, d: str) -> DataFrame:
     x = with_frames(daily(spark, d), ["series"], "ts", ["ts"], 1, 0, lambda w: {"a": F.pow(F.log("close") - F.lag(F.log("close")).over(w), F.lit(2.0))}, YEAR).where("a is not null")
-    return M.diebold_mariano(x, F.col("a"), F.pow(F.log(F.col("close") / F.col("open")), F.lit(2.0)), "ts", 3).select(r("dm", 6).alias("dm"), "n")
+    return M.diebold_mariano(x, F.col("a"), F.pow(log_ratio(F.col("close"), F.col("open")), F.lit(2.0)), "ts", 3).select(r("dm", 6).alias("dm"), "n")
 
 
 @query("""with c as (select sum(t * p) as tp, sum((1 - t) * p) as fp, sum(t * (1 - p)) as fn, sum((1 - t) * (1 - p)) as tn from (select (event_type = 'error')::int as t, (value > 30)::int as p from events))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.operators.shards import count_halo
-from tidewright.session import join_on, micros, small
+from tidewright.session import join_on, micros
 
 DAY_S = 86_400
 Exprs = Callable[[WindowSpec], dict[str, Column]]
@@ -37,25 +37,31 @@ def with_frames(df: DataFrame, keys: list[str], at: str, order: list[str], befor
     return wide.where("_own").drop("_own", "_shard")
 
 
-def with_running(df: DataFrame, keys: list[str], at: str, order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None, shard_s: int = 90 * DAY_S) -> DataFrame:
-    """df with running sums and running maxima from the start of each series (null values add nothing; the sum of none is nought, the maximum null)."""
+def with_running(
+    df: DataFrame, keys: list[str], at: str, order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None, shard_s: int = 90 * DAY_S, rows_of: str | None = None
+) -> DataFrame:
+    """df with running sums and running maxima from the start of each series (null values add nothing; the sum of none is nought, the maximum null), and with
+    the rows of the series if rows_of names a column for them.
+
+    Totals of the earlier shards are joined on (keys, shard), by which the rows are partitioned for their window anyway, so the join moves nothing more."""
     maxima = maxima or {}
     rows = sharded(df.where(F.col(at).isNotNull()), at, shard_s)
     rows = rows.withColumns({f"_v_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()} | {f"_m_{n}": c for n, c in maxima.items()})
     totals = rows.groupBy(*keys, "_shard").agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums], *[F.max(f"_m_{n}").alias(f"_x_{n}") for n in maxima], F.count("*").alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_shard", *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.max(f"_x_{n}").over(earlier).alias(f"_x_{n}") for n in maxima])
+    earlier, whole = W.partitionBy(*keys).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    totals = totals.select(
+        *keys, "_shard", *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.max(f"_x_{n}").over(earlier).alias(f"_x_{n}") for n in maxima], F.sum("_n").over(whole).alias("_of")
+    )
     w = W.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(w) for n in sums} | {f"_y_{n}": F.max(f"_m_{n}").over(w) for n in maxima})
-    out = join_on(out, small(totals), [*keys, "_shard"])
-    return out.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.greatest(f"_y_{n}", f"_x_{n}").alias(n) for n in maxima])
+    out = join_on(out, totals, [*keys, "_shard"])
+    of = [F.col("_of").alias(rows_of)] if rows_of else []
+    return out.select(*df.columns, *[(F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums], *[F.greatest(f"_y_{n}", f"_x_{n}").alias(n) for n in maxima], *of)
 
 
 def with_row_numbers(df: DataFrame, keys: list[str], at: str, order: list[str], name: str = "rn", shard_s: int = 90 * DAY_S) -> DataFrame:
     """df with `name`: 0, 1, 2, ... within each series in order, and `<name>_of`: the rows of the series."""
-    out = with_running(df, keys, at, order, {name: F.lit(1)}, shard_s=shard_s)
-    count = df.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.count("*").alias(f"{name}_of"))
-    return join_on(out.withColumn(name, F.col(name) - 1), small(count), keys)
+    return with_running(df, keys, at, order, {name: F.lit(1)}, shard_s=shard_s, rows_of=f"{name}_of").withColumn(name, F.col(name) - 1)
 
 
 def full(value: Column, w: WindowSpec, n: int, agg: Callable[[Column], Column], count: Column | None = None) -> Column:

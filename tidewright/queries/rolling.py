@@ -13,7 +13,7 @@ from tidewright.operators.frames import DAY_S, ahead, changed, full, greedy_debo
 from tidewright.operators.ranks import average_ranks, dense_ranks
 from tidewright.queries.base import DAILY, DAY, HOUR, daily, r, sql_bars, tick_bars
 from tidewright.queries.market import SQL_RV, SQL_WINDOWS, hourly_windows, periods
-from tidewright.session import micros, small, table
+from tidewright.session import checkpointed, micros, small, table
 
 QUERIES, SQL = {}, {}
 SHARD = 5 * DAY
@@ -365,7 +365,7 @@ SQL_BT = f"""{SQL_VS}, q as (select quantile_cont(strike, 1.0 / 3) as a, quantil
 
 
 def backtested(spark: SparkSession, d: str) -> DataFrame:
-    v = variance_rows(spark, d)
+    v = checkpointed(variance_rows(spark, d))  # read for the quantiles and for the weights
     v = T.rule_weights(v, "strike", "flag_lag", 1.0, -1.0, 0.5)
     return T.backtest(v.where("strike is not null"), "series", "ts", F.col("rvar") - F.col("strike"), 0.001, YEAR)
 

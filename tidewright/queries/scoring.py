@@ -272,7 +272,7 @@ def m8_garch(spark: SparkSession, d: str) -> DataFrame:
     return sequential.garch_scores(hourly_returns(spark, d), ["series"], "ts", "ret", 5)
 
 
-@query(f"""with recursive {HOURLY}, x as (select row_number() over (order by ts) as i, ts, ln(close) - lag(ln(close)) over (order by ts) as ret from b), g(i, h) as (select 2::bigint, 0.5::double union all select g.i + 1, 0.1 + 0.1 * power(x.ret, 2) + 0.8 * g.h from g join x on x.i = g.i) select ts, round(h, 8) as h from g join x using (i)""")
+@query(f"""with recursive {HOURLY}, x as (select row_number() over (order by ts) as i, ts, ln(close) - lag(ln(close)) over (order by ts) as ret from b where least(open, high, low, close) > 0), g(i, h) as (select 2::bigint, 0.5::double union all select g.i + 1, 0.1 + 0.1 * power(x.ret, 2) + 0.8 * g.h from g join x on x.i = g.i) select ts, round(h, 8) as h from g join x using (i)""")
 def m8_garch_recursion(spark: SparkSession, d: str) -> DataFrame:
     import pandas as pd
 

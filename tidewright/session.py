@@ -64,9 +64,16 @@ def drop_local(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: Plans that are already held: reading them again computes nothing.
+HELD = ("LogicalRDD", "LocalRelation")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has been counted to be small; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, computed once and held in the shared folder, with a broadcast hint if it has been counted to have at most `rows` rows; with more it is
+    joined by a shuffle."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() not in HELD:
+        df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -47,9 +47,11 @@ def test_order_is_learned_and_doubt_is_marked(spark):
     assert out[2, "05/06/2023"].status == "ambiguous" and out[2, "07/07/2023"].status == "ok"
 
 
-def test_instants_of_empty_table_and_extra_columns(spark):
-    df = spark.createDataFrame([], "raw string, format string, status string, _t string")
-    assert to_instants(df.drop("format", "status"), "raw", F.lit(1), F.lit("UTC"), None).count() == 0
+def test_instants_of_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([("2024-01-01", "old", "x", "y", 3)], "raw string, status string, _t string, _source string, _cands int")
+    r = to_instants(df, "raw", F.lit(1), F.lit("UTC"), None).first()
+    assert (r.utc_us, r.status, r._t, r._source, r._cands) == (us(2024, 1, 1), "ok", "x", "y", 3)
+    assert to_instants(df.limit(0), "raw", F.lit(1), F.lit("UTC"), None).count() == 0
 
 
 BARS = "bar_id bigint, symbol string, bar_start timestamp_ntz, open_px double, high_px double, low_px double, close_px double"

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.frames import with_frames
 from tidewright.operators.scores import WIDEST, dot
 
 ALPHAS = np.logspace(-4, 5, 30)
@@ -82,18 +83,15 @@ def har(df: DataFrame, x: str, log_y: str, train: Column, steps: int, at: str, l
     """(df with `prediction`, coefficients, standard errors): log mean variance on HAR features by least squares over the train rows; back from logs with the smearing
     factor mean(exp(residual)), then the root of `steps` times the mean variance, at least 1e-8. Standard errors are robust to autocorrelation up to `lags` rows
     (Bartlett weights), from sums of lagged products along the order of `at`."""
-    from pyspark.sql import Window as W
-
     own = df.where(train & F.col(x).isNotNull() & F.col(log_y).isNotNull())
     q = gram(own, x, log_y)[0][1]
     b = solve(q)
     own = own.withColumn("_e", F.col(log_y) - predict(F.col(x), b))
     smear = own.agg(F.avg(F.exp("_e"))).first()[0]
-    w = W.partitionBy(F.lit(0)).orderBy(at)
     z = own.select(at, F.transform(F.concat(F.array(F.lit(1.0)), F.col(x)), lambda v: v * F.col("_e")).alias("u"))
     p = len(b)
     cols = [F.sum(F.get("u", F.lit(i)) * F.get(f"l{k}", F.lit(j))).alias(f"s_{k}_{i}_{j}") for k in range(lags + 1) for i in range(p) for j in range(p)]
-    z = z.withColumns({f"l{k}": F.lag("u", k).over(w) for k in range(lags + 1)})
+    z = with_frames(z, [], at, [at], lags + 1, 0, lambda w: {f"l{k}": F.lag("u", k).over(w) for k in range(lags + 1)})
     s = z.agg(*cols).first()
     meat = np.zeros((p, p))
     for k in range(lags + 1):

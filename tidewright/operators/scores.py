@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.operators.ranks import value_class, value_ranks
+from tidewright.operators.frames import with_frames
+from tidewright.operators.ranks import value_ranks
 from tidewright.session import small
 
 #: Widest vector whose second moments go to the driver (width squared doubles).
@@ -129,15 +130,13 @@ def trailing_mmd(windows: DataFrame, reference: DataFrame, vector: str, keys: li
 
 
 def calibrated(scores: DataFrame, calibration: DataFrame, score: str) -> DataFrame:
-    """scores with `p_value`: (1 + calibration scores at least as high) / (n + 1). One sort of both tables together by ranges of the score; counts of the later
-    ranges are added, so no task sees more than its range."""
-    both = scores.withColumn("_cal", F.lit(0)).unionByName(calibration.select(F.col(score)).withColumn("_cal", F.lit(1)), allowMissingColumns=True).where(F.col(score).isNotNull() & ~F.isnan(score))
-    both = both.withColumn("_c", value_class(F.col(score)))
-    per = both.groupBy("_c").agg(F.sum("_cal").alias("k"))
-    per = per.select("_c", F.coalesce(F.sum("k").over(W.orderBy(F.desc("_c")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_higher"), F.sum("k").over(W.partitionBy()).alias("_n"))
-    inside = W.partitionBy("_c").orderBy(F.desc(score)).rangeBetween(W.unboundedPreceding, W.currentRow)
-    out = both.withColumn("_ge", F.sum("_cal").over(inside)).join(small(per), "_c").where("_cal = 0")
-    return out.select(*scores.columns, ((1 + F.col("_ge") + F.col("_higher")) / (F.col("_n") + 1)).alias("p_value"))
+    """scores with `p_value`: (1 + calibration scores at least as high) / (n + 1). Scores that are null or NaN are left out.
+
+    Distinct scores of both tables are counted and ranked together; each gets its p value once, and rows find theirs by an equi-join on the score."""
+    both = scores.select(F.col(score).cast("double").alias("_s"), F.lit(0).alias("_y")).unionByName(calibration.select(F.col(score).cast("double").alias("_s"), F.lit(1).alias("_y")))
+    r = value_ranks(both, [], "_s", {"cal": F.col("_y")})
+    p = r.select("_v", ((1 + F.col("cal_total") - F.col("cal_upto") + F.col("cal")) / (F.col("cal_total") + 1)).alias("p_value"))
+    return scores.join(p, F.col(score).cast("double") == p["_v"]).drop("_v")
 
 
 def weibull_tail(calibration: DataFrame, score: str, depth: int, tail: float = 0.3) -> DataFrame:
@@ -254,10 +253,9 @@ def normal_p(z: float) -> float:
 
 def diebold_mariano(df: DataFrame, loss_a: Column, loss_b: Column, order: str, h: int) -> DataFrame:
     """One row (dm, p, n): mean loss difference over its long-run deviation with Bartlett weights over h - 1 lags (variance with divisor n, autocovariances with
-    divisor n - 1 over the overlapping part). One series of losses, one window."""
+    divisor n - 1 over the overlapping part). One series in order of a timestamp without ties; its lags are taken in time shards."""
     x = df.select(F.col(order).alias("o"), (loss_a - loss_b).alias("d"))
-    w = W.partitionBy(F.lit(0)).orderBy("o")
-    x = x.withColumns({f"l{k}": F.lag("d", k).over(w) for k in range(1, h)})
+    x = with_frames(x, [], "o", ["o"], h, 0, lambda w: {f"l{k}": F.lag("d", k).over(w) for k in range(1, h)})
     s = x.agg(F.avg("d").alias("m"), F.var_pop("d").alias("g0"), F.count("d").alias("n"), *[F.covar_samp("d", f"l{k}").alias(f"g{k}") for k in range(1, h)])
     lrv = F.col("g0")
     for k in range(1, h):

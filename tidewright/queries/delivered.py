@@ -93,7 +93,6 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
 
 P4_CELLS = """c as (select regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g') as instrument, epoch_us(ts) // 300000000 as cell, arg_max(price, (ts, delivery_id)) as price,
   sum(qty) as size, count(*) as readings from trades where symbol is not null and ts is not null and price > 0 and qty > 0 and not isnan(price) and not isnan(qty) group by 1, 2)"""
-#: The filled values are checked against brute force in tests/, so the SQL has the observed cells and marks.
 P4_FOUND_SQL = f"""with {P4_CELLS}, n as (select *, lead(cell) over (partition by instrument order by cell) as next from c)
   select instrument, unnest(generate_series(cell + 1, next - 1)) * 300 as cell_start_s from n where next > cell + 1 and next // 288 = cell // 288"""
 P4_MARKS_SQL = f"""with {P4_CELLS}, n as (select *, lead(cell) over (partition by instrument order by cell) as next from c),
@@ -102,6 +101,25 @@ P4_MARKS_SQL = f"""with {P4_CELLS}, n as (select *, lead(cell) over (partition b
   case when x = cell then round(price, 8) end as last_price, case when x = cell then round(size, 6) when next - cell <= 12 then 0.0 end as size, case when x = cell then readings else 0 end as readings from g"""
 
 
+def _slope(h0: str, d0: str, h1: str, d1: str) -> str:
+    return f"(case when {d0} * {d1} <= 0 then 0 else (3 * ({h0} + {h1})) / ((2 * {h1} + {h0}) / nullif({d0}, 0) + ({h1} + 2 * {h0}) / nullif({d1}, 0)) end)"
+
+
+def _end(h: str, d: str, h1: str, d1: str) -> str:
+    s = f"(((2 * {h} + {h1}) * {d} - {h} * {d1}) / ({h} + {h1}))"
+    return f"(case when {s} * {d} <= 0 then 0 when {d} * {d1} <= 0 and abs({s}) > 3 * abs({d}) then 3 * {d} else {s} end)"
+
+
+P4_GRID_SQL = f"""with {P4_CELLS},
+  k as (select *, lag(cell) over w as pc, lag(price) over w as pv, lead(cell) over w as nc, lead(price) over w as nv, lead(cell, 2) over w as nnc, lead(price, 2) over w as nnv from c window w as (partition by instrument order by cell)),
+  s as (select *, (nc - cell)::double as h, (cell - pc)::double as h0, (nnc - nc)::double as h1, (nv - price) / (nc - cell) as d, (price - pv) / (cell - pc) as d0, (nnv - nv) / (nnc - nc) as d1, coalesce(cell - pc <= 12, false) as before, coalesce(nnc - nc <= 12, false) as after from k),
+  m as (select *, case when before then {_slope("h0", "d0", "h", "d")} when after then {_end("h", "d", "h1", "d1")} else d end as m0, case when after then {_slope("h", "d", "h1", "d1")} when before then {_end("h", "d", "h0", "d0")} else d end as m1 from s),
+  g as (select *, unnest(generate_series(cell, coalesce(nc - 1, cell))) as x from m), t as (select *, (x - cell) / nullif(h, 0) as t from g)
+  select instrument, x * 300 as cell_start_s, case when x = cell then 'observed' when h <= 12 then 'filled' else 'gap' end as status,
+  round(case when x = cell then price when h <= 12 then (1 + 2 * t) * (1 - t) * (1 - t) * price + t * (1 - t) * (1 - t) * h * m0 + t * t * (3 - 2 * t) * nv + t * t * (t - 1) * h * m1 end, 8) as last_price,
+  case when x = cell then round(size, 6) when h <= 12 then 0.0 end as size, case when x = cell then readings else 0 end as readings from t"""
+
+
 def p4_marks(spark: SparkSession, d: str) -> DataFrame:
     grid = p4_grid(spark, d)
     return grid.withColumn("last_price", F.when(F.col("status") == OBSERVED, F.col("last_price")))
@@ -116,4 +134,5 @@ SQL = {
     "p3_matched": P3_SQL + " select q.quote_id, q.symbol, j.score_id, j.anomaly_score, j.flag, j.gap_us from q left join (select * from j where rn = 1) j on j.quote_id = q.quote_id",
     "p4_found": P4_FOUND_SQL,
     "p4_marks": P4_MARKS_SQL,
+    "p4_grid": P4_GRID_SQL,
 }

@@ -31,7 +31,7 @@ GRAIN = 16
 ROUNDS = 30
 CLASSES = 4096
 #: Most sources that an operator here accepts; it fails beyond, as tables of a row for each source go to the driver.
-MOST_SOURCES = 1000
+MOST_SOURCES = 256
 FIELDS = ["lang", "kind_code", "mt_from", "applicant"]
 
 
@@ -80,8 +80,8 @@ class SourceModel:
         sources = [r["source"] for r in rows]
         at = {s: i for i, s in enumerate(sources)}
         counts = np.zeros((len(sources), BUCKETS))
-        for s, f, n in labelled.select("source", F.explode("features").alias("f")).groupBy("source", "f").count().collect():  # at most sources x BUCKETS rows
-            counts[at[s], f] = n
+        got = labelled.select("source", F.explode("features").alias("f")).groupBy("source", "f").count().toArrow()  # at most sources x BUCKETS rows
+        counts[[at[s] for s in got["source"].to_pylist()], got["f"].to_numpy()] = got["count"].to_numpy()
         return SourceModel(sources, np.array([r["n"] for r in rows], float), counts)
 
     def posterior(self, features: np.ndarray) -> np.ndarray:

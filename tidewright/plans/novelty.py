@@ -60,14 +60,15 @@ def novelty(bars: DataFrame, reference: DataFrame, cfg: HorizonConfig) -> DataFr
 
 def evaluate_detections(bars: DataFrame, detections: DataFrame, lags: list[int], debounce_s: int) -> DataFrame:
     """(lag, n, mean_ret, multiple, mean_exc): of the debounced detections, the mean absolute forward return, its multiple of the mean over all rows, and the mean
-    forward excursion."""
+    forward excursion; a lag without detections has n nought and nulls."""
     x = forward_excursions(bars, SERIES, AT, lags)
     kept = greedy_debounce(detections.select(SERIES, AT), [SERIES], AT, debounce_s)
     hit = x.join(kept, [SERIES, AT], "left_semi")
     stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"ret_{k}").alias("ret"), F.col(f"exc_{k}").alias("exc")) for k in lags])).alias("s")).select("s.*")
     base = stack(x).groupBy("lag").agg(F.avg("ret").alias("base"))
     own = stack(hit).groupBy("lag").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("exc").alias("mean_exc"))
-    return own.join(F.broadcast(base), "lag").select("lag", "n", "mean_ret", F.try_divide("mean_ret", "base").alias("multiple"), "mean_exc")  # a row for each lag
+    out = base.join(F.broadcast(own), "lag", "left")  # a row for each lag
+    return out.select("lag", F.coalesce("n", F.lit(0)).alias("n"), "mean_ret", F.try_divide("mean_ret", "base").alias("multiple"), "mean_exc")
 
 
 def random_period_runs(bars: DataFrame, score: str, periods: int, length_s: int, quantiles: list[float], lags: list[int], debounce_s: int, seed: int = 0) -> DataFrame:

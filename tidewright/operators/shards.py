@@ -6,10 +6,12 @@ neighbouring rows it needs: those within a fixed time (time_halo), or a fixed nu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.session import join_on
+
 
 def time_halo(df: DataFrame, at: str, width: int, before: int, after: int) -> DataFrame:
     """Adds `_shard` (at div width) and `_own`; a row is repeated, with _own false, in each other shard whose range, widened by `before`
@@ -23,30 +25,28 @@ def time_halo(df: DataFrame, at: str, width: int, before: int, after: int) -> Da
 def count_halo(df: DataFrame, keys: list[str], shard: str, order: list[str], before: int, after: int) -> DataFrame:
     """Each (keys, shard) with the `before` rows that precede it and the `after` rows that follow it in the order of (shard, order), however
     many empty or thin shards lie between; `_own` is false for those. `order` must be a total order within keys and agree with `shard`.
-    The exchange of halos runs over at most before + after rows of a shard, so an entity with many rows costs one small row a shard."""
+
+    Running row counts of the shards (one small row a shard) tell which later and earlier shards still reach a row near its shard's ends; only those
+    rows are copied, and only to them."""
+    if not before and not after:
+        return df.withColumn("_own", F.lit(True))
     inside = W.partitionBy(*keys, shard)
-    row = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
     marked = df.withColumn("_first", F.row_number().over(inside.orderBy(*order))).withColumn("_last", F.row_number().over(inside.orderBy(*[F.desc(c) for c in order])))
-    edges = marked.where((F.col("_first") <= after) | (F.col("_last") <= before)).select(*keys, shard, "_first", "_last", row.alias("_r"))
-    ends = edges.groupBy(*keys, shard).agg(
-        F.sort_array(F.collect_list(F.when(F.col("_first") <= after, F.col("_r")))).alias("_heads"),
-        F.sort_array(F.collect_list(F.when(F.col("_last") <= before, F.col("_r")))).alias("_tails"),
-    )
     along = W.partitionBy(*keys).orderBy(shard)
-    early = F.flatten(F.collect_list("_tails").over(along.rowsBetween(-before, -1)))
-    late = F.flatten(F.collect_list("_heads").over(along.rowsBetween(1, after)))
-    halo = ends.select(
-        *keys,
-        shard,
-        F.concat(
-            F.slice(F.reverse(early), 1, before) if before else F.slice(early, 1, 0),
-            F.slice(late, 1, after) if after else F.slice(late, 1, 0),
-        ).alias("_halo"),
-    )
-    halo = halo.select(F.col(shard).alias("_target"), F.explode("_halo").alias("_h")).select("_target", "_h._row.*")
-    halo = halo.withColumn(shard, F.col("_target")).drop("_target").withColumn("_own", F.lit(False))
+    counts = marked.where("_last = 1").select(*keys, shard, F.col("_first").cast("bigint").alias("_n"))
+    counts = counts.withColumn("_upto", F.sum("_n").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    place = F.struct(F.col(shard).alias("s"), (F.col("_upto") - F.col("_n")).alias("below"), F.col("_upto").alias("upto"))
+    none = F.array().cast(f"array<struct<s:{dict(df.dtypes)[shard]},below:bigint,upto:bigint>>")
+    counts = counts.select(
+        *keys, shard, "_n", "_upto",
+        (F.collect_list(place).over(along.rowsBetween(1, before)) if before else none).alias("_later"),
+        (F.collect_list(place).over(along.rowsBetween(-after, -1)) if after else none).alias("_earlier"),
+    )
+    edges = marked.where((F.col("_first") <= after) | (F.col("_last") <= before))
+    edges = join_on(edges, counts, [*keys, shard])
+    later = F.filter("_later", lambda t: F.col("_last") + t["below"] - F.col("_upto") <= before)
+    earlier = F.filter("_earlier", lambda t: F.col("_first") + F.col("_upto") - F.col("_n") - t["upto"] <= after)
+    targets = F.transform(F.concat(later, earlier), lambda t: t["s"])
+    halo = edges.withColumn("_target", F.explode(targets)).select(*[F.col("_target").alias(shard) if c == shard else F.col(c) for c in df.columns], F.lit(False).alias("_own"))
     return df.withColumn("_own", F.lit(True)).unionByName(halo)
 
-
-def rank_in(entity: list[str | Column], *order: Column) -> Column:
-    return F.row_number().over(W.partitionBy(*entity).orderBy(*order))

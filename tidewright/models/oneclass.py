@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import hash_sample
+
 #: Most reference vectors a detector is fitted on; a hash of the id picks them, so every run picks the same. All vectors are scored.
 FIT_ROWS = 2000
 
@@ -185,8 +187,8 @@ DETECTORS = {"ocsvm": OneClassSVM, "iforest": IsolationForest, "lof": LocalOutli
 
 
 def bounded_sample(df: DataFrame, vector: str, key: str, rows: int = FIT_ROWS) -> np.ndarray:
-    """At most `rows` vectors, those with the smallest hash of the key; the sort is a top-k, of bounded size on the driver."""
-    got = df.where(F.col(vector).isNotNull()).select(vector, F.xxhash64(F.lit(11), key).alias("_h"), key).orderBy("_h", key).limit(rows).collect()
+    """At most `rows` vectors, those with the smallest hash of the key."""
+    got = hash_sample(df.where(F.col(vector).isNotNull()).select(vector, key), [key], rows).collect()
     return np.array([r[0] for r in got], float)
 
 

@@ -19,7 +19,7 @@ from tidewright.plans import forecast, novelty
 from tidewright.queries.base import DAILY, DAY, TICKS, daily, r, tick_bars, ticks
 from tidewright.queries.market import SQL_WINDOWS, hourly_windows
 from tidewright.queries.rolling import HOURLY, YEAR, in_periods
-from tidewright.session import table
+from tidewright.session import hash_sample, table
 
 QUERIES, SQL = {}, {}
 
@@ -352,7 +352,7 @@ def m18_networks(spark: SparkSession, d: str) -> DataFrame:
 
     x = forecast.checkpointed(forecast.dataset(daily(spark, d), SPEC))
     cut = x.agg(F.expr("percentile_approx(ts, 0.8)")).first()[0]
-    rows = x.where(F.col("target_end") < F.lit(cut)).select("x_stats", "y").orderBy(F.xxhash64("ts")).limit(FIT_ROWS).collect()
+    rows = hash_sample(x.where(F.col("target_end") < F.lit(cut)).select("x_stats", "y", "ts"), ["ts"], FIT_ROWS).collect()
     model = MLP(epochs=30).fit(np.array([a[0] for a in rows], float), np.array([a[1] for a in rows], float))
 
     def run(batches):

@@ -76,6 +76,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int, total: int | None = None) -> DataFrame:
+    """At most `rows` rows, those with the smallest hash of the keys; the same in every run. Rows are thinned by the hash to little more than that number first, so
+    that the tasks of the top-k send little."""
+    n = df.count() if total is None else total
+    spread = F.pmod(F.xxhash64(F.lit(11), *keys), F.lit(1 << 40))
+    share = min(1.0, (1.1 * rows + 50) / max(n, 1))
+    return df.where(spread < int(share * (1 << 40))).orderBy(spread, *keys).limit(rows)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """An equi-join in which null keys match each other; the keys and then the other columns of both sides, none of which may clash."""
     renamed = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})

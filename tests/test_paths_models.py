@@ -214,3 +214,40 @@ def test_synthetic_paths_and_bootstrap(spark):
     assert synthetic.bootstrap_p(v, "v", 1e9, 10, 99).first().p == pytest.approx(0.01)
     assert synthetic.bootstrap_p(v, "v", -1.0, 10, 99).first().p == 1.0
     assert 0.2 < synthetic.bootstrap_p(v, "v", 49.5, 10, 499).first().p < 0.8
+
+
+def test_bootstrap_draws_as_many_as_observed(spark, small_dir):
+    """Against the normal limit of a mean of n draws; the query draws as many values as there are error events."""
+    from math import erfc, sqrt
+
+    from tidewright.queries.scoring import m28_bootstrap
+
+    e = spark.read.parquet(f"{small_dir}/events.parquet").select("event_type", "value").toPandas()
+    own = e[e.event_type == "error"].value
+    limit = erfc((own.mean() - e.value.mean()) / (e.value.std(ddof=0) / sqrt(len(own))) / sqrt(2)) / 2
+    assert m28_bootstrap(spark, small_dir).first().p == pytest.approx(limit, abs=0.06)
+    v = spark.createDataFrame([(k, float(i % 7) + k) for i in range(2000) for k in (0, 1)], "k int, v double")
+    t = spark.createDataFrame([(0, 3.05, 3000), (0, 3.05, 3), (1, 3.05, 3000), (1, None, 5), (2, 1.0, 5)], "k int, observed double, size bigint")
+    sd = np.std([i % 7 for i in range(2000)]) / sqrt(3000)
+    mean = np.mean([i % 7 for i in range(2000)])
+    for test in t.collect():
+        out = synthetic.bootstrap_tests(v, ["k"], "v", spark.createDataFrame([test], t.schema), 999).first()
+        if test.observed is None or test.k == 2:
+            assert out.p is None and out.replicates == 0
+        elif test.k == 1:
+            assert out.p == 1.0
+        elif test["size"] == 3000:
+            assert out.p == pytest.approx(erfc((3.05 - mean) / sd / sqrt(2)) / 2, abs=0.06)
+        else:
+            assert out.p > 0.3
+
+
+def test_bootstrap_over_chunks(spark, monkeypatch):
+    """Values in several chunks follow the same law, and the result does not depend on how rows are laid out."""
+    monkeypatch.setattr(synthetic, "CHUNK", 16)
+    v = spark.createDataFrame([(float(i),) for i in range(100)], "v double")
+    for size in (10, 5000):
+        observed = 49.5 + 28.866 / size**0.5
+        p = synthetic.bootstrap_p(v, "v", observed, size, 999).first().p
+        assert p == pytest.approx(0.1587, abs=0.05)
+        assert synthetic.bootstrap_p(v.repartition(7), "v", observed, size, 999).first().p == p

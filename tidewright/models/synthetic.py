@@ -68,16 +68,56 @@ def spike_trials(paths: DataFrame, key: str, channel: int, magnitudes: list[floa
     return drawn.select("magnitude", "trial", "positive", F.when(F.col("positive"), spiked(F.col("path"), channel, F.col("magnitude"), uniform(seed + 2, "trial", "magnitude"))).otherwise(F.col("path")).alias("path"))
 
 
-def bootstrap_p(values: DataFrame, value: str, observed: float, size: int, replicates: int, seed: int = 0) -> DataFrame:
-    """One row (p, replicates): share of (1 + replicates) at least as large as the observed mean, each replicate the mean of `size` values drawn with replacement by
-    seeded hashes. Draws are joined to the values by position, so nothing is collected."""
-    from tidewright.operators.ranks import value_ranks
+#: Distinct values that one task draws from.
+CHUNK = 65_536
+
+
+def bootstrap_p(values: DataFrame, value: str, observed: float | None, size: int, replicates: int, seed: int = 0) -> DataFrame:
+    """One row (p, replicates): share of (1 + replicates) at least as large as the observed mean, each replicate the mean of `size` values drawn with replacement;
+    p is null without an observed mean, values or draws."""
+    tests = values.sparkSession.createDataFrame([(observed, size)], "observed double, size bigint")
+    return bootstrap_tests(values, [], value, tests, replicates, seed).select("p", "replicates")
+
+
+def bootstrap_tests(values: DataFrame, keys: list[str], value: str, tests: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """tests (keys, observed, size; keys are unique and not null) with `p` and `replicates`: bootstrap_p of each against the values of its keys.
 
-    spark = values.sparkSession
-    counts = value_ranks(values, [], value).select("_v", (F.col("_upto") - F.col("_n")).alias("_lo"), "_upto", "_total")
-    draws = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(size))).alias("j"))
-    n = counts.select(F.max("_total").alias("_t"))
-    draws = draws.crossJoin(F.broadcast(n)).withColumn("_r", F.floor(uniform(seed, "rep", "j") * F.col("_t")))  # one row
-    positions = counts.select("_v", F.explode(F.sequence(F.col("_lo"), F.col("_upto") - 1)).alias("_r"))
-    means = draws.join(positions, "_r").groupBy("rep").agg(F.avg("_v").alias("m"))
-    return means.agg(((1 + F.sum((F.col("m") >= observed).cast("int"))) / (F.count("*") + 1)).alias("p"), F.count("*").alias("replicates"))
+    Values are counted first. A replicate's draws are dealt to chunks of distinct values by a multinomial over the chunks' rows, and within a chunk by a draw of
+    positions or, where there are more draws than values, by a multinomial over the values: the same law as single draws, at a cost of at most one step a distinct
+    value. Seeds depend on the keys, the replicate and the chunk only."""
+    from tidewright.session import checkpointed, real
+
+    counts = checkpointed(values.select(*keys, real(F.col(value).cast("double")).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
+    most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    chunks = -(-most // CHUNK)
+    counts = counts.withColumns({"_c": F.pmod(F.xxhash64("_v"), F.lit(chunks)).cast("int"), "_key": F.xxhash64(F.lit(seed), *keys)})
+    totals = counts.groupBy("_key", "_c").agg(F.sum("_n").alias("_n")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_c", "_n"))).alias("_chunks"))
+    tests = checkpointed(tests.withColumn("_key", F.xxhash64(F.lit(seed), *keys)))
+    reps = tests.where("observed is not null and size > 0").select("_key", "size").join(totals, "_key").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def rng(key: int, *parts: int) -> np.random.Generator:
+        return np.random.default_rng([int(key) & (2**64 - 1), *map(int, parts)])
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, rep, size, parts in zip(pdf["_key"], pdf["_rep"], pdf["size"], pdf["_chunks"]):
+                n = np.array([x["_n"] for x in parts], float)
+                out.extend((key, rep, x["_c"], m) for x, m in zip(parts, rng(key, 0, rep).multinomial(size, n / n.sum())) if m)
+            yield pd.DataFrame(out, columns=["_key", "_rep", "_c", "_m"])
+
+    def draw(own: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_v")
+        v, n = own["_v"].to_numpy(float), own["_n"].to_numpy()
+        upto, share, sums = n.cumsum(), n / n.sum(), []
+        for key, rep, c, m in zip(dealt["_key"], dealt["_rep"], dealt["_c"], dealt["_m"]):
+            g = rng(key, 1, rep, c)
+            sums.append(v[np.searchsorted(upto, g.integers(upto[-1], size=m), side="right")].sum() if m < len(v) else g.multinomial(m, share) @ v)
+        return dealt[["_key", "_rep", "_c"]].assign(_s=sums)
+
+    dealt = reps.mapInPandas(deal, "_key bigint, _rep int, _c int, _m bigint")
+    sums = counts.groupBy("_key", "_c").cogroup(dealt.groupBy("_key", "_c")).applyInPandas(draw, "_key bigint, _rep int, _c int, _s double")
+    means = sums.groupBy("_key", "_rep").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("_c", "_s"))), F.lit(0.0), lambda a, x: a + x["_s"]).alias("_s"))
+    means = means.join(tests.select("_key", "size", "observed"), "_key")
+    p = means.groupBy("_key").agg(((1 + F.sum((F.col("_s") / F.col("size") >= F.col("observed")).cast("int"))) / (F.count("*") + 1)).alias("p"), F.count("*").alias("replicates"))
+    return tests.join(p, "_key", "left").drop("_key").withColumn("replicates", F.coalesce("replicates", F.lit(0)))

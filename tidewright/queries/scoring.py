@@ -425,8 +425,8 @@ def m27_t_test(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def m28_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    observed = e.where("event_type = 'error'").agg(F.avg("value")).first()[0] or 0.0
-    return synthetic.bootstrap_p(e, "value", observed, 50, 1000)
+    observed, n = e.where("event_type = 'error'").select(F.avg("value"), F.count("value")).first()
+    return synthetic.bootstrap_p(e, "value", observed, n, 1000)
 
 
 @query(f"""with {DAILY}, x as (select ts, power(ln(close) - lag(ln(close)) over (order by ts), 2) as a, power(ln(close / open), 2) as b from d), e as (select ts, a - b as v from x where a is not null),

@@ -251,3 +251,45 @@ def test_bootstrap_over_chunks(spark, monkeypatch):
         p = synthetic.bootstrap_p(v, "v", observed, size, 999).first().p
         assert p == pytest.approx(0.1587, abs=0.05)
         assert synthetic.bootstrap_p(v.repartition(7), "v", observed, size, 999).first().p == p
+
+
+def test_penalties_from_one_decomposition():
+    """Also where features are linear in each other."""
+    x = np.random.default_rng(0).normal(size=(60, 4))
+    x = np.column_stack([x, x[:, 0] - x[:, 1], np.ones(60)])
+    z = np.column_stack([np.ones(60), x, x @ np.arange(6.0) + np.sin(np.arange(60))])
+    for a, b in zip((1e-4, 1.0, 1e5), linear.solve_each(z.T @ z, np.array([1e-4, 1.0, 1e5]))):
+        np.testing.assert_allclose(b, linear.solve(z.T @ z, a), rtol=1e-6, atol=1e-8)
+
+
+def test_models_are_registered_at_full_settings(spark, small_dir, monkeypatch):
+    """What the queries pass to the models: rounds, epochs and folds as the operators' own; signatures of whole daily paths to depth 3."""
+    import inspect
+
+    from tidewright.plans import forecast
+    from tidewright.queries import scoring
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args, **kwargs):
+        raise Seen(args, kwargs)
+
+    assert scoring.SPEC.points is None
+    x = scoring.g18_dataset(spark, small_dir).select(F.size("x_sig")).distinct().collect()
+    assert [r[0] for r in x] == [S.signature_dim(7, 3)]
+    assert inspect.signature(sequential.q_policy).parameters["epochs"].default == inspect.signature(sequential.q_learn).parameters["epochs"].default == 400
+    epochs = MLP().epochs
+    monkeypatch.setattr("pyspark.ml.regression.GBTRegressor", seen)
+    monkeypatch.setattr("tidewright.models.neural.MLP", seen)
+    monkeypatch.setattr(forecast, "purged_folds", seen)
+    with pytest.raises(Seen) as e:
+        scoring.m17_boosted_trees(spark, small_dir)
+    assert (e.value.args[1]["maxIter"], e.value.args[1]["stepSize"], e.value.args[1]["maxDepth"]) == (500, 0.03, 3)
+    with pytest.raises(Seen) as e:
+        scoring.m18_networks(spark, small_dir)
+    assert e.value.args[1].get("epochs", epochs) == 200
+    for q in (scoring.m14_m16_x25_walk_forward, scoring.m31_ranking, scoring.x25_ablation):
+        with pytest.raises(Seen) as e:
+            q(spark, small_dir)
+        assert e.value.args[0][4] == 4

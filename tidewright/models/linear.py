@@ -23,6 +23,7 @@ def gram(df: DataFrame, x: str, y: str, group: str | None = None) -> dict[object
     if width > WIDEST:
         raise ValueError(f"more than {WIDEST} features")
     size = width + 2
+    upper = np.triu_indices(size)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), (F.col(group) if group else F.lit(0)).cast("int").alias("g"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,12 +34,17 @@ def gram(df: DataFrame, x: str, y: str, group: str | None = None) -> dict[object
                 part = z[(pdf["g"] == g).to_numpy()]
                 total[int(g)] = total.get(int(g), 0) + part.T @ part
         for g, q in total.items():
-            yield pd.DataFrame({"g": g, "i": range(size * size), "v": q.ravel()})
+            yield pd.DataFrame({"g": g, "i": range(len(upper[0])), "v": q[upper]})
 
+    sums = rows.mapInPandas(run, "g int, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).toArrow()
+    at, i, v = (sums[c].to_numpy() for c in ("g", "i", "v"))
     out: dict[object, tuple[float, np.ndarray]] = {}
-    for r in rows.mapInPandas(run, "g int, i int, v double").groupBy("g", "i").agg(F.sum("v").alias("v")).collect():
-        out.setdefault(r["g"], (0.0, np.zeros(size * size)))[1][r["i"]] = r["v"]
-    return {g: (q[0], q.reshape(size, size)) for g, (_, q) in out.items()}
+    for g in np.unique(at):
+        q = np.zeros((size, size))
+        own = i[at == g]
+        q[upper[0][own], upper[1][own]] = q[upper[1][own], upper[0][own]] = v[at == g]
+        out[int(g)] = (q[0, 0], q)
+    return out
 
 
 def solve(q: np.ndarray, penalty: float = 0.0) -> np.ndarray:
@@ -53,6 +59,19 @@ def solve(q: np.ndarray, penalty: float = 0.0) -> np.ndarray:
     return np.concatenate([[q[0, -1] / n - mean @ b], b])
 
 
+def solve_each(q: np.ndarray, penalties: np.ndarray) -> list[np.ndarray]:
+    """solve() for each penalty above nought, from one decomposition."""
+    n = q[0, 0]
+    mean = q[0, 1:-1] / n
+    cov = q[1:-1, 1:-1] / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    sd = np.where(sd < 1e-12, 1.0, sd)
+    w, axes = np.linalg.eigh(cov / np.outer(sd, sd))
+    c = axes.T @ ((q[1:-1, -1] / n - mean * q[0, -1] / n) / sd)
+    bs = [axes @ (c / (np.maximum(w, 0) + a / n)) / sd for a in penalties]
+    return [np.concatenate([[q[0, -1] / n - mean @ b], b]) for b in bs]
+
+
 def squared_error(q: np.ndarray, b: np.ndarray) -> float:
     v = np.concatenate([-b, [1.0]])
     return float(v @ q @ v)
@@ -64,13 +83,10 @@ def ridge(df: DataFrame, x: str, y: str, fold: str, alphas: np.ndarray = ALPHAS)
     blocks = [g[k][1] for k in sorted(g)]
     if len(blocks) < 2:
         return solve(sum(blocks), float(alphas[0])), float(alphas[0])
-    errors = []
-    for a in alphas:
-        seen, e = blocks[0], 0.0
-        for b in blocks[1:]:
-            e += squared_error(b, solve(seen, float(a)))
-            seen = seen + b
-        errors.append(e)
+    seen, errors = blocks[0], np.zeros(len(alphas))
+    for b in blocks[1:]:
+        errors += [squared_error(b, s) for s in solve_each(seen, alphas)]
+        seen = seen + b
     best = float(alphas[int(np.argmin(errors))])
     return solve(sum(blocks), best), best
 

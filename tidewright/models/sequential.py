@@ -299,7 +299,7 @@ def greedy(state: np.ndarray, ret: np.ndarray, q: np.ndarray, cost: float = 0.00
     return w, w * ret - cost * np.abs(np.diff(w, prepend=0.0))
 
 
-def q_policy(df: DataFrame, keys: list[str], at: str, state: str, ret: str, vol: str, states: int = 12, train: float = 0.65, purge: int = 20, epochs: int = 40) -> DataFrame:
+def q_policy(df: DataFrame, keys: list[str], at: str, state: str, ret: str, vol: str, states: int = 12, train: float = 0.65, purge: int = 20, epochs: int = 400) -> DataFrame:
     """(keys, at, position, strategy_return) on the rows after the train share of each series; the policy is learned on the earlier rows less a purge."""
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:

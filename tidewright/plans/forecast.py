@@ -118,7 +118,7 @@ def ranking(results: DataFrame) -> DataFrame:
     return regression_metrics(results, "y", "prediction", ["model"]).orderBy("rmse", "model")
 
 
-def ablation(bars: DataFrame, base: ForecastSpec, variants: dict[str, dict], folds: int = 3) -> DataFrame:
+def ablation(bars: DataFrame, base: ForecastSpec, variants: dict[str, dict], folds: int = 4) -> DataFrame:
     """(setting, fold, rmse, mae, r2, n) of the signature ridge for each changed spec; the loop is over settings, each a plan of its own."""
     out = None
     for name, changes in variants.items():

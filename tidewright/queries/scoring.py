@@ -189,7 +189,7 @@ def g17_novelty(spark: SparkSession, d: str) -> DataFrame:
     return novelty.novelty(valid_bars(tick_bars(spark, d)), valid_bars(in_periods(spark, d)), CFG)
 
 
-SPEC = forecast.ForecastSpec("7d", 30, 7, (1, 7, 30), ("log_return", "volume", "log_range"), points=10, depth=2)
+SPEC = forecast.ForecastSpec("7d", 30, 7, (1, 7, 30), ("log_return", "volume", "log_range"))
 
 
 @query()
@@ -325,12 +325,12 @@ def m13_scaled_components(spark: SparkSession, d: str) -> DataFrame:
 # forecasts
 @query()
 def m14_m16_x25_walk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.compare(forecast.dataset(daily(spark, d), SPEC), SPEC, 3)
+    return forecast.compare(forecast.dataset(daily(spark, d), SPEC), SPEC)
 
 
 @query()
 def m31_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.ranking(forecast.compare(forecast.dataset(daily(spark, d), SPEC), SPEC, 2))
+    return forecast.ranking(forecast.compare(forecast.dataset(daily(spark, d), SPEC), SPEC))
 
 
 @query()
@@ -340,7 +340,7 @@ def m17_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
     x = forecast.checkpointed(forecast.dataset(daily(spark, d), SPEC).withColumn("features", array_to_vector("x_stats")))
     cut = x.agg(F.expr("percentile_approx(ts, 0.8)")).first()[0]
-    model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=3, maxIter=20, stepSize=0.1, seed=42).fit(x.where(F.col("target_end") < F.lit(cut)))
+    model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=3, maxIter=500, stepSize=0.03, seed=42).fit(x.where(F.col("target_end") < F.lit(cut)))
     return model.transform(x.where(F.col("ts") >= F.lit(cut))).select("ts", "y", "prediction")
 
 
@@ -353,7 +353,7 @@ def m18_networks(spark: SparkSession, d: str) -> DataFrame:
     x = forecast.checkpointed(forecast.dataset(daily(spark, d), SPEC))
     cut = x.agg(F.expr("percentile_approx(ts, 0.8)")).first()[0]
     rows = hash_sample(x.where(F.col("target_end") < F.lit(cut)).select("x_stats", "y", "ts"), ["ts"], FIT_ROWS).collect()
-    model = MLP(epochs=30).fit(np.array([a[0] for a in rows], float), np.array([a[1] for a in rows], float))
+    model = MLP().fit(np.array([a[0] for a in rows], float), np.array([a[1] for a in rows], float))
 
     def run(batches):
         for pdf in batches:
@@ -472,4 +472,4 @@ def x22_random_periods(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def x25_ablation(spark: SparkSession, d: str) -> DataFrame:
     v = {"price": {"dims": ("log_return",)}, "price_activity": {"dims": ("log_return", "volume")}}
-    return forecast.ablation(daily(spark, d), SPEC, v, 2).select("setting", "fold", "rmse", "mae", "r2", "n")
+    return forecast.ablation(daily(spark, d), SPEC, v).select("setting", "fold", "rmse", "mae", "r2", "n")

@@ -293,3 +293,58 @@ def test_models_are_registered_at_full_settings(spark, small_dir, monkeypatch):
         with pytest.raises(Seen) as e:
             q(spark, small_dir)
         assert e.value.args[0][4] == 4
+
+
+def test_evaluations_have_multiple_and_p(spark):
+    """Against the reference's formulas in numpy, on the whole and by period; detections before large moves get a small p."""
+    import pandas as pd
+
+    from tidewright.plans import novelty
+
+    rng = np.random.default_rng(1)
+    n = 400
+    step = rng.normal(0, 0.01, n)
+    at = np.arange(5, n - 10, 20)
+    step[at + 1] = 0.03
+    close = 100 * np.exp(step.cumsum())
+    pdf = pd.DataFrame({"series": "a", "period": 0, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), "h"), "open": close, "high": close, "low": close, "close": close})
+    bars = spark.createDataFrame(pd.concat([pdf, pdf.assign(series="b", period=1)])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    move = np.abs(close[1:] / close[:-1] - 1)
+    plain = move[7::20][: len(at)]
+    pick = lambda first: F.expr(f"timestampdiff(hour, timestamp_ntz'2024-01-01 00:00:00', ts) % 20 = {first} and ts < timestamp_ntz'2024-01-01' + interval {n - 10} hours")
+    one = bars.where("period = 0")
+    for detections, mean in ((5, move[at].mean()), (7, plain.mean())):
+        out = novelty.evaluate_detections(one, one.where(pick(detections)), [1], 3600).first()
+        means = rng.choice(move, (4000, len(at))).mean(axis=1)
+        assert (out.n, out.mean_ret, out.multiple) == (len(at), pytest.approx(mean), pytest.approx(mean / move.mean()))
+        assert out.p == pytest.approx((means >= mean).mean(), abs=0.05)
+        by = novelty.evaluate_by_period(bars, bars.where(pick(detections)), [1], 3600).orderBy("period").collect()
+        assert [(r.period, r.n, r.multiple) for r in by] == [(k, len(at), pytest.approx(mean / move.mean())) for k in (0, 1)]
+        assert all(r.p == pytest.approx(out.p, abs=0.05) for r in by)
+    none = novelty.evaluate_detections(one, one.where("false"), [1], 3600).first()
+    assert (none.n, none.mean_ret, none.p) == (0, None, None)
+
+
+def test_ranking_compares_with_the_best(spark):
+    from math import erfc, sqrt
+
+    import pandas as pd
+
+    from tidewright.plans import forecast
+
+    rng = np.random.default_rng(3)
+    n, h = 120, 4
+    y = rng.normal(size=n)
+    e = {"good": rng.normal(0, 0.5, n), "bad": rng.normal(0, 1.0, n), "near": rng.normal(0, 0.55, n)}
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), "D")
+    rows = spark.createDataFrame(pd.concat([pd.DataFrame({"model": k, "fold": np.arange(n) // 40, "series": "all", "ts": ts, "y": y, "prediction": y - v}) for k, v in e.items()])).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    out = {r.model: r for r in forecast.ranking(rows, h).collect()}
+    best = min(e, key=lambda k: (e[k] ** 2).mean())
+    for k, v in e.items():
+        d = v**2 - e[best] ** 2
+        if k == best:
+            assert out[k].best and out[k].dm is None and out[k].dm_p is None
+            continue
+        lrv = d.var() + 2 * sum((1 - g / h) * np.cov(d[g:], d[:-g])[0, 1] for g in range(1, h))
+        dm = d.mean() / np.sqrt(lrv / n)
+        assert not out[k].best and out[k].dm == pytest.approx(dm) and out[k].dm_p == pytest.approx(erfc(abs(dm) / sqrt(2)), abs=1e-6)

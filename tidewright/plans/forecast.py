@@ -13,7 +13,7 @@ from tidewright.functions.signature import with_signature
 from tidewright.models.linear import gram, har, predict, ridge, solve
 from tidewright.operators.bars import variance_increment
 from tidewright.operators.frames import ahead, with_frames, with_row_numbers
-from tidewright.operators.scores import regression_metrics
+from tidewright.operators.scores import diebold_mariano, regression_metrics
 from tidewright.operators.splits import purged_folds
 from tidewright.operators.strategy import har_features
 from tidewright.operators.summaries import summary_features
@@ -113,9 +113,20 @@ def compare(data: DataFrame, spec: ForecastSpec, folds: int = 4, blocks: int = 5
     return out
 
 
-def ranking(results: DataFrame) -> DataFrame:
-    """(model, rmse, mae, r2, n), best first."""
-    return regression_metrics(results, "y", "prediction", ["model"]).orderBy("rmse", "model")
+def ranking(results: DataFrame, horizon: int) -> DataFrame:
+    """(model, rmse, mae, r2, n, best, dm, dm_p), best first: Diebold-Mariano of each model's squared errors against those of the best, over horizon - 1 lags (losses
+    of several series at an instant are averaged); null for the best itself."""
+    results = checkpointed(results)
+    ranked = checkpointed(regression_metrics(results, "y", "prediction", ["model"]))
+    names = [r["model"] for r in ranked.orderBy("rmse", "model").select("model").collect()]  # one a model
+    if not names:
+        return ranked.select(*ranked.columns, F.lit(True).alias("best"), F.lit(None).cast("double").alias("dm"), F.lit(None).cast("double").alias("dm_p"))
+    loss = lambda name, out: results.where(F.col("model") == name).select(SERIES, AT, F.pow(F.col("y") - F.col("prediction"), F.lit(2.0)).alias(out))
+    tests = results.sparkSession.createDataFrame([(names[0], None, None)], "model string, dm double, dm_p double")
+    for name in names[1:]:
+        both = loss(name, "a").join(loss(names[0], "b"), [SERIES, AT]).groupBy(AT).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+        tests = tests.unionByName(diebold_mariano(both, F.col("a"), F.col("b"), AT, horizon).select(F.lit(name).alias("model"), "dm", F.col("p").alias("dm_p")))
+    return ranked.join(F.broadcast(tests), "model").select(*ranked.columns, (F.col("model") == names[0]).alias("best"), "dm", "dm_p").orderBy("rmse", "model")
 
 
 def ablation(bars: DataFrame, base: ForecastSpec, variants: dict[str, dict], folds: int = 4) -> DataFrame:

@@ -13,6 +13,7 @@ from tidewright.operators.evaluate import forward_excursions
 from tidewright.operators.frames import greedy_debounce
 from tidewright.operators.scores import expected_distance
 from tidewright.operators.windows import channels, increment_scale, sliding_windows
+from tidewright.session import checkpointed
 
 SERIES, AT = "series", "ts"
 
@@ -58,21 +59,32 @@ def novelty(bars: DataFrame, reference: DataFrame, cfg: HorizonConfig) -> DataFr
     return expected_distance(signature_features(raw_paths(bars, cfg), cfg, scale), train, "sig").select(SERIES, "window_id", "start", "end", "score")
 
 
-def evaluate_detections(bars: DataFrame, detections: DataFrame, lags: list[int], debounce_s: int) -> DataFrame:
-    """(lag, n, mean_ret, multiple, mean_exc): of the debounced detections, the mean absolute forward return, its multiple of the mean over all rows, and the mean
-    forward excursion; a lag without detections has n nought and nulls."""
-    x = forward_excursions(bars, SERIES, AT, lags)
+def evaluate_detections(bars: DataFrame, detections: DataFrame, lags: list[int], debounce_s: int, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """(lag, n, mean_ret, multiple, mean_exc, p): of the debounced detections, the mean absolute forward return, its multiple of the mean over all rows, the mean
+    forward excursion, and the bootstrap p of the mean return; a lag without detections has n nought and nulls."""
+    out = _by_lag(bars, detections, [], lags, debounce_s, replicates, seed)
+    return out.select("lag", F.coalesce("n", F.lit(0)).alias("n"), "mean_ret", F.try_divide("mean_ret", "base").alias("multiple"), "mean_exc", "p")  # a row for each lag
+
+
+def _by_lag(bars: DataFrame, detections: DataFrame, keys: list[str], lags: list[int], debounce_s: int, replicates: int, seed: int) -> DataFrame:
+    """(keys, lag, base, n, mean_ret, mean_exc, p). p is the share of means of as many rows of the keys, drawn with replacement, as there are debounced detections
+    that is at least the mean of the detections; null with nought replicates."""
+    from tidewright.models.synthetic import bootstrap_tests
+
+    x = checkpointed(forward_excursions(bars, SERIES, AT, lags))
     kept = greedy_debounce(detections.select(SERIES, AT), [SERIES], AT, debounce_s)
     hit = x.join(kept, [SERIES, AT], "left_semi")
-    stack = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"ret_{k}").alias("ret"), F.col(f"exc_{k}").alias("exc")) for k in lags])).alias("s")).select("s.*")
-    base = stack(x).groupBy("lag").agg(F.avg("ret").alias("base"))
-    own = stack(hit).groupBy("lag").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("exc").alias("mean_exc"))
-    out = base.join(F.broadcast(own), "lag", "left")  # a row for each lag
-    return out.select("lag", F.coalesce("n", F.lit(0)).alias("n"), "mean_ret", F.try_divide("mean_ret", "base").alias("multiple"), "mean_exc")
+    stack = lambda df: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"ret_{k}").alias("ret"), F.col(f"exc_{k}").alias("exc")) for k in lags])).alias("s")).select(*keys, "s.*")
+    base = stack(x).groupBy(*keys, "lag").agg(F.avg("ret").alias("base"))
+    own = stack(hit).groupBy(*keys, "lag").agg(F.count("*").alias("size"), F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("exc").alias("mean_exc"))
+    out = base.join(F.broadcast(own), [*keys, "lag"], "left").withColumn("observed", F.col("mean_ret"))  # groups are parameters
+    if not replicates:
+        return out.withColumn("p", F.lit(None).cast("double"))
+    return bootstrap_tests(stack(x), [*keys, "lag"], "ret", out, replicates, seed)
 
 
 def random_period_runs(bars: DataFrame, score: str, periods: int, length_s: int, quantiles: list[float], lags: list[int], debounce_s: int, seed: int = 0) -> DataFrame:
-    """(period, quantile, lag, n, mean_ret, ...): the evaluation over seeded random periods, for each threshold quantile of the period's scores."""
+    """(period, lag, n, mean_ret, multiple, mean_exc, p, quantile): the evaluation over seeded random periods, for each threshold quantile of the period's scores."""
     from tidewright.models.synthetic import uniform
     from tidewright.operators.ranks import grouped_quantiles
     from tidewright.session import micros
@@ -93,12 +105,10 @@ def random_period_runs(bars: DataFrame, score: str, periods: int, length_s: int,
     return out
 
 
-def evaluate_by_period(bars: DataFrame, detections: DataFrame, lags: list[int], debounce_s: int) -> DataFrame:
-    x = forward_excursions(bars, SERIES, AT, lags)
-    kept = greedy_debounce(detections.select(SERIES, AT), [SERIES], AT, debounce_s)
-    hit = x.join(kept, [SERIES, AT], "left_semi")
-    s = hit.select("period", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"ret_{k}").alias("ret"), F.col(f"exc_{k}").alias("exc")) for k in lags])).alias("s")).select("period", "s.*")
-    return s.groupBy("period", "lag").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean_ret"), F.avg("exc").alias("mean_exc"))
+def evaluate_by_period(bars: DataFrame, detections: DataFrame, lags: list[int], debounce_s: int, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """(period, lag, n, mean_ret, multiple, mean_exc, p): evaluate_detections within each period that has detections, against the rows of the period."""
+    out = _by_lag(bars, detections, ["period"], lags, debounce_s, replicates, seed).where("n is not null")
+    return out.select("period", "lag", "n", "mean_ret", F.try_divide("mean_ret", "base").alias("multiple"), "mean_exc", "p")
 
 
 def trimmed_over_runs(runs: DataFrame) -> DataFrame:

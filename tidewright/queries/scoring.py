@@ -330,7 +330,7 @@ def m14_m16_x25_walk_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m31_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.ranking(forecast.compare(forecast.dataset(daily(spark, d), SPEC), SPEC))
+    return forecast.ranking(forecast.compare(forecast.dataset(daily(spark, d), SPEC), SPEC), SPEC.horizon)
 
 
 @query()
@@ -455,10 +455,17 @@ def m31_regression_metrics(spark: SparkSession, d: str) -> DataFrame:
   s as (select ts, 1 as lag, ret_1 as ret, exc_1 as exc from x union all select ts, 5, ret_5, exc_5 from x) select lag, count(ret) filter (h) as n, round(avg(ret) filter (h), 8) as mean_ret, round(avg(ret) filter (h) / avg(ret), 8) as multiple, round(avg(exc) filter (h), 8) as mean_exc from (select s.*, ts in (select ts from k where ts is not null) as h from s) group by 1""")
 def m32_detection_evaluation(spark: SparkSession, d: str) -> DataFrame:
     b = tick_bars(spark, d)
-    out = novelty.evaluate_detections(b, b.where("trades >= 20"), [1, 5], 6 * 3600)
+    out = novelty.evaluate_detections(b, b.where("trades >= 20"), [1, 5], 6 * 3600, replicates=0)
     return out.select("lag", "n", r("mean_ret").alias("mean_ret"), r("multiple").alias("multiple"), r("mean_exc").alias("mean_exc"))
 
 
+@query()
+def m32_bootstrap_p(spark: SparkSession, d: str) -> DataFrame:
+    """The part of M32 that SQL does not express."""
+    b = tick_bars(spark, d)
+    return novelty.evaluate_detections(b, b.where("trades >= 20"), [1, 5], 6 * 3600)
+
+
 @query()
 def m33_synthetic_paths(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.synthetic_paths(spark, 20)

@@ -38,3 +38,27 @@ def test_time_halo(spark):
 def test_no_cartesian_products(spark, small_dir, name):
     plan = entry.queries()[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_many_ranges_are_joined_by_day(spark, how):
+    import datetime as dt
+
+    from tidewright.operators.evaluate import in_range
+
+    r, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    spans = [(k, t0 + dt.timedelta(hours=(a := r.randrange(2000))), t0 + dt.timedelta(hours=a + r.choice([-1, 0, 5, 90]))) for k in range(60)]
+    ranges = spark.createDataFrame([*spans, (99, None, t0), (98, t0, None)], "name int, lo timestamp_ntz, hi timestamp_ntz")
+    scores = spark.createDataFrame([(i, t0 + dt.timedelta(hours=r.randrange(2200))) for i in range(300)] + [(300, None)], "i int, ts timestamp_ntz")
+    few, many = in_range(scores, ranges, "ts", how), in_range(scores, ranges, "ts", how, limit=0)
+    rows = lambda df: sorted(map(str, df.select("i", *(["name"] if how != "left_anti" else [])).collect()))
+    assert many.columns == few.columns and rows(many) == rows(few) and rows(few)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_broadcasts_are_measured_in_bytes(spark):
+    from tidewright.session import measured
+
+    df = spark.createDataFrame([(1, "x" * 1000, [1.0] * 100)], "a int, s string, v array<double>")
+    assert not measured(df, 1400)[1] and measured(df, 4000)[1] and measured(df.limit(0), 0)[1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.safe import ratio
 from tidewright.operators.frames import DAY_S, ahead, changed, full, runs, with_frames
 from tidewright.operators.ranks import grouped_quantiles
-from tidewright.session import micros, small
+from tidewright.session import measured, micros, small
 
 
 def crosses(score: Column, threshold: float | Column, higher: bool = True) -> Column:
@@ -17,17 +17,16 @@ def crosses(score: Column, threshold: float | Column, higher: bool = True) -> Co
     return F.coalesce(hit & ~F.isnan(score), F.lit(False))
 
 
-def in_range(scores: DataFrame, ranges: DataFrame, at: str, how: str) -> DataFrame:
-    """Scores joined to ranges (lo, hi inclusive). Ranges are few by nature: they are counted, and broadcast up to the bound; beyond it they are joined by day, which
-    needs each range spread over its days only."""
-    spread = small(ranges, 10_000)
-    if spread is not ranges:
-        return scores.join(spread, (F.col(at) >= F.col("lo")) & (F.col(at) <= F.col("hi")), how)
+def in_range(scores: DataFrame, ranges: DataFrame, at: str, how: str, limit: int = 1 << 20) -> DataFrame:
+    """Scores joined to ranges (lo, hi inclusive). Ranges of at most `limit` bytes are broadcast to every row; more of them are joined by day, which needs each range spread
+    over its days only. A range with a null end holds nothing."""
+    ranges, fits = measured(ranges, limit)
+    inside = (F.col(at) >= F.col("lo")) & (F.col(at) <= F.col("hi"))
+    if fits:
+        return scores.join(F.broadcast(ranges), inside, how)
     day = lambda c: F.floor(micros(c) / (DAY_S * 1_000_000)).cast("bigint")
-    days = ranges.withColumn("_day", F.explode(F.sequence(day("lo"), day("hi"))))
-    left = scores.withColumn("_at_day", day(at))
-    out = left.join(days, (left["_at_day"] == days["_day"]) & (left[at] >= days["lo"]) & (left[at] <= days["hi"]), how)
-    return out.drop("_day", "_at_day")
+    days = ranges.where("lo <= hi").withColumn("_day", F.explode(F.sequence(day("lo"), day("hi"))))
+    return scores.withColumn("_at_day", day(at)).join(days, (F.col("_at_day") == F.col("_day")) & inside, how).drop("_day", "_at_day")
 
 
 def detect_events(scores: DataFrame, events: DataFrame, at: str, flagged: Column) -> DataFrame:

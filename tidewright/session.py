@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest table, in rows, that an operator may broadcast; it is counted first, and beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Largest table, in bytes of its values, that an operator may broadcast; it is measured first, and beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -60,20 +60,43 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{label}-{uuid.uuid4().hex}"
 
 
-def drop_local(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written as Parquet to the shared folder and read from there: lineage is cut, and each reader takes only its columns. Gone when the application ends."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Plans that are already held: reading them again computes nothing.
 HELD = ("LogicalRDD", "LocalRelation")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, computed once and held in the shared folder, with a broadcast hint if it has been counted to have at most `rows` rows; with more it is
-    joined by a shuffle."""
+def _size(field: T.StructField) -> Column:
+    """Bytes of a value, and a few for its slot."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+    return F.lit(16 if isinstance(field.dataType, T.DecimalType) else 8)
+
+
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """(df computed once and held in the shared folder, whether its values have at most `limit` bytes)."""
     if df._jdf.queryExecution().analyzed().getClass().getSimpleName() not in HELD:
         df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    each = F.lit(16)
+    for field in df.schema.fields:
+        each = each + _size(field)
+    return df, (df.agg(F.sum(each.cast("bigint"))).first()[0] or 0) <= limit
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, computed once and held, with a broadcast hint if it has been measured to have at most `limit` bytes; with more it is joined by a shuffle."""
+    df, fits = measured(df, limit)
+    return F.broadcast(df) if fits else df
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int, total: int | None = None) -> DataFrame:

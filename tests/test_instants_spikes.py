@@ -91,6 +91,54 @@ def test_bars_against_brute_force(spark, seed):
     assert len(got) == len(data)
     assert {r.bar_id for r in got if r.impossible or r.spike or r.stuck} == flagged_bars(data)
     assert any(r.spike for r in got) and any(r.stuck for r in got) and any(r.tail for r in got)
+    assert all(r.tail for r in got if r.spike and r.cutoff is not None)
+
+
+def test_the_fitted_tail_decides(spark):
+    """Swings that are usual in their hour are cut away by the fit, though the rule alone would name them; at a smaller risk fewer bars are left."""
+    r, rows, p, t = random.Random(8), [], 100.0, dt.datetime(2024, 1, 1)
+    for i in range(96 * 20):
+        wild = t.hour == 9
+        p = 100.0 * float(np.exp((0.03 if i % 2 else -0.03) + r.gauss(0, 0.004))) if wild else p * float(np.exp(r.gauss(0, 0.001)))
+        rows.append((i, "a", t, p, p, p, p))
+        t += dt.timedelta(minutes=15)
+    rows[96 * 10 + 3] = (*rows[96 * 10 + 3][:3], 150.0, 150.0, 150.0, 150.0)
+    df = spark.createDataFrame(rows, BARS)
+    spikes = lambda **k: {x.bar_id for x in flag_bars(df, "symbol", "bar_start", "bar_id", **k).where("spike").collect()}
+    by_rule, found = flagged_bars(rows, None), spikes()
+    assert found == flagged_bars(rows) and found < by_rule and 96 * 10 + 3 in found
+    assert spikes(risk=1e-12) < found | {96 * 10 + 3}
+
+
+def test_sound_neighbours_of_a_dip(spark):
+    """A dip of two bars after a lasting move: judged together with the dip its neighbours would pass the rule too; the dip, the most extreme, is settled first."""
+    closes = [195.75, 197.57, 199.89, 200.91, 200.43, 179.54, 180.41, 201.3, 200.41, 202.8, 202.2, 201.9]
+    r, p, lead = random.Random(2), 195.0, []
+    for _ in range(300):
+        p *= float(np.exp(r.gauss(0, 0.0016)))
+        lead.append(p)
+    lead = [x * 195.7 / lead[-1] for x in lead]
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "a", t0 + dt.timedelta(minutes=15 * i), c, c, c, c) for i, c in enumerate(lead + closes)]
+    got = {x.bar_id for x in flag_bars(spark.createDataFrame(rows, BARS), "symbol", "bar_start", "bar_id").where("spike").collect()}
+    assert {305, 306} <= got and got == flagged_bars(rows) and not got & {302, 303, 304}
+
+
+def test_settling_across_shards_equals_one_pass(spark, monkeypatch):
+    """Chains of candidates that reach over many shards and halos settle as in one pass."""
+    from tidewright.operators import spikes as S
+
+    r = np.random.default_rng(3)
+    n = 400
+    lc = r.choice([0.0, 0.3, 0.5, 1.0], n) + r.normal(0, 0.01, n)
+    level, sure = np.full(n, 0.2), np.ones(n, bool)
+    want, still = S.settle_dense(lc + 0.01, lc - 0.01, lc, level, np.ones(n, bool), sure, 5)
+    assert want.sum() > 40 and not still.any()
+    rows = [("a", i, float(lc[i]), float(lc[i] + 0.01), float(lc[i] - 0.01), True, 0.2, True) for i in range(n)]
+    df = spark.createDataFrame(rows, "_s string, pos bigint, lc double, hi double, lo double, sound boolean, level double, open boolean")
+    monkeypatch.setattr(S, "SHARD_BARS", 16)
+    monkeypatch.setattr(S, "SETTLE_REACH", 8)
+    assert sorted(x.pos for x in S.settled(df, 5).collect()) == np.flatnonzero(want).tolist()
 
 
 def test_bars_empty_and_all_null(spark):

@@ -44,25 +44,26 @@ QUERIES = {"p5_found": p5_found, "p5_learned": p5_learned, "p6_found": p6_found,
 
 
 def _p6_sql() -> str:
+    """The rule as it is defined, without the tail fit: the most extreme bars settled first, by recursion over the whole table."""
     yes = lambda e: f"coalesce({e}, false)"
-    hits = []
-    for price, ref in (("hi", "{r}"), ("{r}", "lo")):
-        far = lambda r: yes(f"{price.format(r=r)} - {ref.format(r=r)} > far")  # noqa: B023, E731
-        hits += [f"({far(f'lag(ref, {i}) over w')} and ({' or '.join(far(f'lead(ref, {j}) over w') for j in range(1, 6 - i))}))" for i in range(1, 5)]
-    rounds = "".join(
-        f""", q{k} as (select *, case when not wrong and not spike then lc end as ref from r{k - 1}),
-  r{k} as (select * exclude (spike, ref), {' or '.join(hits)} as spike from q{k} window w as (partition by symbol order by bar_start, bar_id))"""
-        for k in (1, 2, 3)
-    )
-    return f"""with b as (select distinct bar_id, symbol, bar_start, open_px as o, high_px as h, low_px as l, close_px as c from price_bars),
+    low, high = ([f"{f}({', '.join(f'lead(ref, {j}) over w' for j in range(1, k + 1))})" if k > 1 else "lead(ref) over w" for k in range(1, 5)] for f in ("least", "greatest"))
+    both = [f"case when lag(ref, {i}) over w is not null and {low[4 - i]} is not null then" for i in range(1, 5)]
+    under = ", ".join(f"{both[i - 1]} greatest(lag(ref, {i}) over w, {low[4 - i]}) end" for i in range(1, 5))
+    over = ", ".join(f"{both[i - 1]} least(lag(ref, {i}) over w, {high[4 - i]}) end" for i in range(1, 5))
+    return f"""with recursive b as (select distinct bar_id, symbol, bar_start, open_px as o, high_px as h, low_px as l, close_px as c from price_bars),
   a as (select *, {yes("least(o, h, l, c) <= 0")} or {yes("h < greatest(o, h, l, c)")} or {yes("l > least(o, h, l, c)")} as wrong from b),
-  x as (select *, case when c > 0 then ln(c) end as lc, case when least(o, h, l, c) > 0 then ln(greatest(o, h, l, c)) end as hi, case when least(o, h, l, c) > 0 then ln(least(o, h, l, c)) end as lo,
+  x as (select *, row_number() over w as pos, case when c > 0 then ln(c) end as lc, case when least(o, h, l, c) > 0 then ln(greatest(o, h, l, c)) end as hi, case when least(o, h, l, c) > 0 then ln(least(o, h, l, c)) end as lo,
     {yes("c = lag(c) over w")} as rep from a where symbol is not null and bar_start is not null window w as (partition by symbol order by bar_start, bar_id)),
-  y as (select *, abs(lc - lag(lc) over w) as move, row_number() over w - row_number() over (partition by symbol, rep order by bar_start, bar_id) as island from x window w as (partition by symbol order by bar_start, bar_id)),
+  y as (select *, abs(lc - lag(lc) over w) as move, row_number() over w - row_number() over (partition by symbol, rep order by pos) as island from x window w as (partition by symbol order by pos)),
   u as (select symbol, 20 * median(move) filter (move > 0) as far, avg(rep::int) as repeats from y group by 1),
-  r0 as (select y.*, far, repeats, false as spike from y join u using (symbol)){rounds},
-  s as (select *, rep and repeats < 0.1 and count(*) over (partition by symbol, rep, island) >= 6 as stuck from r3)
-  select bar_id from s where wrong or spike or stuck union select bar_id from a where wrong"""
+  r as (select 0 as i, bar_id, symbol, pos, hi, lo, case when not wrong then lc end as ref, far, false as found, true as more from y join u using (symbol)
+    union all
+    select i + 1, bar_id, symbol, pos, hi, lo, case when not hit then ref end, far, found or hit, max(hit::int) over () = 1 from (
+      select *, gain is not null and gain > coalesce(max(gain) over (partition by symbol order by pos rows between 4 preceding and 1 preceding), 0) and gain >= coalesce(max(gain) over (partition by symbol order by pos rows between 1 following and 4 following), 0) as hit from (
+        select *, case when not found and size > far then size end as gain from (
+          select *, greatest(hi - least({under}), greatest({over}) - lo) as size from r where more window w as (partition by symbol order by pos))))),
+  s as (select *, rep and repeats < 0.1 and count(*) over (partition by symbol, rep, island) >= 6 as stuck from y join u using (symbol))
+  select bar_id from s where wrong or stuck union select bar_id from a where wrong union select bar_id from r where found"""
 
 
 SQL = {"p6_found": _p6_sql()}

@@ -42,7 +42,7 @@ def cutoff(z: list[float], risk: float, tail: float) -> float | None:
     return max(q[1], q[4] + sigma / shape * ((4 * tail / risk) ** shape - 1))
 
 
-def flagged_bars(rows: list[tuple], risk: float | None = 1e-3, tail: float = 0.04) -> set:
+def flagged_bars(rows: list[tuple], risk: float | None = 3e-3, tail: float = 0.04) -> set:
     """Ids of implausible bars. rows: (bar_id, symbol, at, open, high, low, close), None for nulls. Without a risk there is no tail fit, only the rule."""
     rows = sorted(set(rows), key=lambda r: (str(r[1]), str(r[2]), r[0]))
     cases, by = set(), {}
@@ -86,7 +86,7 @@ def flagged_bars(rows: list[tuple], risk: float | None = 1e-3, tail: float = 0.0
         level = [20 * usual] * n
         if risk is not None:
             hours = [r[2].hour for r in own]
-            by_hour = {h: [min(m, 20 * usual) for m, g in zip(move, hours) if g == h and m is not None] for h in set(hours)}
+            by_hour = {h: [min(m, 4 * usual) for m, g in zip(move, hours) if g == h and m is not None] for h in set(hours)}
             scale = {h: sum(v) / len(v) if v else None for h, v in by_hour.items()}
             z = [excursion(k, hi, lo, ref) / scale[hours[k]] for k in range(n) if scale[hours[k]]]
             cut = cutoff(z, risk, tail) or 0.0

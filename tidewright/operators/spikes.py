@@ -1,7 +1,7 @@
 """Implausible spikes, stuck values and impossible bars, measured by each instrument's own behaviour.
 
 A bar's excursion is how far one of its prices lies, on one side, from closes both before and after it. Its residual is the excursion over the usual move of
-that hour of the day. A generalised Pareto tail, fitted to each instrument's residuals, sets a cutoff at a fixed risk; only bars beyond it are candidates, and
+that hour of the day (the average, moves cut at four usual ones). A generalised Pareto tail, fitted to each instrument's residuals, sets a cutoff at a fixed risk; only bars beyond it are candidates, and
 only those are judged by the exact rule, which needs to know which neighbours are sound.
 """
 
@@ -164,7 +164,7 @@ def settled(near: DataFrame, apart: int) -> DataFrame:
 
 def flag_bars(
     df: DataFrame, symbol: str, at: str, bar_id: str, prices: tuple[str, str, str, str] = ("open_px", "high_px", "low_px", "close_px"),
-    moves_away: float = 20.0, apart: int = 5, stuck: int = 6, liveliness: float = 0.1, risk: float = 1e-3, tail: float = 0.04,
+    moves_away: float = 20.0, apart: int = 5, stuck: int = 6, liveliness: float = 0.1, risk: float = 3e-3, tail: float = 0.04,
 ) -> DataFrame:
     """One row for each bar: bar_id, symbol, at, `impossible`, `spike`, `stuck`, `tail` (its residual passes the fitted cutoff), `residual`, `cutoff`.
 
@@ -201,7 +201,7 @@ def flag_bars(
     usual = exact_median(own.where("move > 0"), "_s", "move")
     share = own.groupBy("_s").agg(F.avg(F.col("repeat").cast("int")).alias("repeats"))
     norm = share.join(usual, "_s", "left").withColumnRenamed("median", "usual")
-    scale = own.join(small(norm), "_s").groupBy("_s", "slot").agg(F.avg(F.least("move", 20 * F.col("usual"))).alias("scale"), F.first("usual").alias("usual"), F.first("repeats").alias("repeats"))
+    scale = own.join(small(norm), "_s").groupBy("_s", "slot").agg(F.avg(F.least("move", 4 * F.col("usual"))).alias("scale"), F.first("usual").alias("usual"), F.first("repeats").alias("repeats"))
     scale = small(scale)
     cut = tail_cutoffs(own.join(scale, ["_s", "slot"]).where("scale > 0").select("_s", (F.col("far") / F.col("scale")).alias("z")), risk, tail)
     norms = small(scale.join(small(cut), "_s", "left"))

@@ -27,6 +27,7 @@ CASES = [
     # a wall time that occurs twice means the first, a skipped one is read with the offset before the jump
     ("2024-11-03 01:30:00", NY, "mdy", us(2024, 11, 3, 5, 30)), ("2024-03-10 02:30:00", NY, "mdy", us(2024, 3, 10, 7, 30)), ("2024-10-27 02:30:00", BERLIN, "dmy", us(2024, 10, 27, 0, 30)), ("2024-02-29", "UTC", "ymd", us(2024, 2, 29)), ("2024-366T00:00:00Z", NY, "mdy", us(2024, 12, 31)),
     ("2023-02-29", "UTC", "ymd", None), ("2022-13-01T00:00:00Z", NY, "mdy", None), ("31/11/2022 10:10:00", BERLIN, "dmy", None), ("30/11/2022 25:10:00", BERLIN, "dmy", None), ("13/25/2022", NY, "mdy", None), ("0000-00-00 00:00:00", NY, "mdy", None), ("2023-366T00:00:00Z", NY, "mdy", None),
+    ("Marble 3, 2022", NY, "mdy", None), ("3 Junk 2022", NY, "mdy", None), ("Sept 5, 2022", "UTC", "mdy", us(2022, 9, 5)), ("Monkey, 22 Jan 2024 18:06:25 +0900", NY, "mdy", None), ("25/13/2022", NY, "mdy", None), ("13/05/2022", NY, "mdy", None),
     ("pending", NY, "mdy", None), ("", NY, "mdy", None), ("   ", NY, "mdy", None), (None, NY, "mdy", None), ("n/a", NY, "mdy", None), ("12345", NY, "mdy", None), ("9" * 25, NY, "mdy", None), ("2024-01-22 10:00:00 Mars/Base", NY, "mdy", None), ("2024-01-22 10:00:00", "Mars/Base", "mdy", None), ("x" * 100_000, NY, "mdy", None),
 ]
 
@@ -47,6 +48,31 @@ def test_order_is_learned_and_doubt_is_marked(spark):
     assert out[2, "05/06/2023"].status == "ambiguous" and out[2, "07/07/2023"].status == "ok"
 
 
+def test_values_decide_between_orders(spark):
+    """Texts that can be read in both orders, in a source whose certain texts say nothing about orders: the reading that falls among the source's other instants is taken."""
+    rows = [(1, f"2023-{m:02}-{d:02}") for m in (3, 4, 5, 6) for d in range(1, 28)] + [(1, "05/11/2023"), (1, "11/05/2023")]
+    rows += [(2, f"2023-{m:02}-{d:02}") for m in range(1, 13) for d in range(1, 28)] + [(2, "05/11/2023"), (2, "11/05/2023")]
+    df = spark.createDataFrame(rows, "v int, raw string")
+    out = {(r.v, r.raw): r for r in to_instants(df, "raw", F.col("v"), F.lit("UTC"), None).collect()}
+    may = us(2023, 5, 11)
+    assert (out[1, "05/11/2023"].utc_us, out[1, "05/11/2023"].format) == (may, "mdy") and (out[1, "11/05/2023"].utc_us, out[1, "11/05/2023"].format) == (may, "dmy")
+    assert {out[2, t].status for t in ("05/11/2023", "11/05/2023")} == {"ambiguous"}
+
+
+def test_a_declared_order_holds_at_any_number_of_rows():
+    """However many texts of a source can be read in another order only, they stay unusable, and the rarest text in the declared order is read."""
+    import pandas as pd
+
+    from tidewright.operators.instants import FORMATS, _mixture
+
+    dmy, mdy = FORMATS.index("dmy"), FORMATS.index("mdy")
+    sets = [([16 * 9 + dmy], 2, 10**12), ([16 * 9 + 0], 2, 10**12), ([16 * 900 + mdy], 3, 1), ([16 * 9 + dmy, 16 * 900 + mdy], 1, 1)]
+    pdf = pd.DataFrame({"_source": "s", "_order": "mdy", "_key": [k for k, _, _ in sets], "_prec": [p for _, p, _ in sets], "n": [n for _, _, n in sets]})
+    assert _mixture(pdf)["_best"].tolist() == [-1, 16 * 9, 16 * 900 + mdy, 16 * 900 + mdy]
+    pdf["_order"] = None
+    assert _mixture(pdf)["_best"].tolist() == [16 * 9 + dmy, 16 * 9, 16 * 900 + mdy, 16 * 9 + dmy]
+
+
 def test_instants_of_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([("2024-01-01", "old", "x", "y", 3)], "raw string, status string, _t string, _source string, _cands int")
     r = to_instants(df, "raw", F.lit(1), F.lit("UTC"), None).first()
@@ -95,11 +121,10 @@ def test_bars_against_brute_force(spark, seed):
 
 
 def test_the_fitted_tail_decides(spark):
-    """Swings that are usual in their hour are cut away by the fit, though the rule alone would name them; at a smaller risk fewer bars are left."""
-    r, rows, p, t = random.Random(8), [], 100.0, dt.datetime(2024, 1, 1)
+    """Swings that an instrument makes all the time are cut away by the fit, though the rule alone would name them; at a smaller risk fewer bars are left."""
+    r, rows, t = random.Random(8), [], dt.datetime(2024, 1, 1)
     for i in range(96 * 20):
-        wild = t.hour == 9
-        p = 100.0 * float(np.exp((0.03 if i % 2 else -0.03) + r.gauss(0, 0.004))) if wild else p * float(np.exp(r.gauss(0, 0.001)))
+        p = 100.0 * float(np.exp(r.gauss(0, 0.0005) + (r.choice([-1, 1]) * r.gauss(0.03, 0.004) if r.random() < 0.12 else 0)))
         rows.append((i, "a", t, p, p, p, p))
         t += dt.timedelta(minutes=15)
     rows[96 * 10 + 3] = (*rows[96 * 10 + 3][:3], 150.0, 150.0, 150.0, 150.0)

@@ -124,7 +124,7 @@ def test_the_fitted_tail_decides(spark):
     """Swings that an instrument makes all the time are cut away by the fit, though the rule alone would name them; at a smaller risk fewer bars are left."""
     r, rows, t = random.Random(8), [], dt.datetime(2024, 1, 1)
     for i in range(96 * 20):
-        p = 100.0 * float(np.exp(r.gauss(0, 0.0005) + (r.choice([-1, 1]) * r.gauss(0.03, 0.004) if r.random() < 0.12 else 0)))
+        p = 100.0 * float(np.exp(r.gauss(0, 0.0005) + (r.choice([-1, 1]) * r.gauss(0.02, 0.01) if r.random() < 0.2 else 0)))
         rows.append((i, "a", t, p, p, p, p))
         t += dt.timedelta(minutes=15)
     rows[96 * 10 + 3] = (*rows[96 * 10 + 3][:3], 150.0, 150.0, 150.0, 150.0)

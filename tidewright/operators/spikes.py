@@ -201,7 +201,7 @@ def flag_bars(
     usual = exact_median(own.where("move > 0"), "_s", "move")
     share = own.groupBy("_s").agg(F.avg(F.col("repeat").cast("int")).alias("repeats"))
     norm = share.join(usual, "_s", "left").withColumnRenamed("median", "usual")
-    scale = own.join(small(norm), "_s").groupBy("_s", "slot").agg(F.avg(F.least("move", 4 * F.col("usual"))).alias("scale"), F.first("usual").alias("usual"), F.first("repeats").alias("repeats"))
+    scale = own.join(small(norm), "_s").groupBy("_s", "slot").agg(F.avg(F.when(F.col("move").isNotNull(), F.least("move", 4 * F.col("usual")))).alias("scale"), F.first("usual").alias("usual"), F.first("repeats").alias("repeats"))
     scale = small(scale)
     cut = tail_cutoffs(own.join(scale, ["_s", "slot"]).where("scale > 0").select("_s", (F.col("far") / F.col("scale")).alias("z")), risk, tail)
     norms = small(scale.join(small(cut), "_s", "left"))

@@ -1,4 +1,4 @@
-"""Queries p1 to p4: redelivered messages, trailing totals, nearest records, regular grid."""
+"""Queries p1, p2 and p4: redelivered messages, trailing totals, regular grid."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.symbols import instrument
-from tidewright.operators.nearest import nearest_in_time
 from tidewright.operators.redelivery import keep_one, mark_repeats
 from tidewright.operators.regular_grid import OBSERVED, cells, regular_grid
 from tidewright.operators.trailing import trailing_totals
@@ -55,28 +54,6 @@ def _p2_sql() -> str:
       select s.symbol as symbol, s.d as obs_date, {", ".join(cols)} from s left join (select * from r where rn = 1) r on r.symbol = s.symbol and r.obs_date = s.d"""
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    quotes = table(spark, d, "var_quotes").select("quote_id", "symbol", "quoted_at", "strike_var")
-    scores = table(spark, d, "anomaly_scores").where(F.col("anomaly_score").isNotNull() & ~F.isnan("anomaly_score"))
-    return nearest_in_time(quotes, scores, "symbol", "quoted_at", "scored_at", "quote_id", "score_id", ["anomaly_score", "flag"], 300)
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).where("score_id is not null").select("quote_id", "score_id")
-
-
-def p3_matched(spark: SparkSession, d: str) -> DataFrame:
-    return _matched(spark, d).select("quote_id", "symbol", "score_id", "anomaly_score", "flag", "gap_us")
-
-
-P3_SQL = """with q as (select distinct quote_id, symbol, quoted_at from var_quotes where symbol is not null and quoted_at is not null and quote_id is not null),
-  s as (select distinct score_id, symbol, scored_at, anomaly_score, flag from anomaly_scores
-        where symbol is not null and scored_at is not null and anomaly_score is not null and not isnan(anomaly_score)),
-  j as (select q.quote_id, q.symbol, s.score_id, s.anomaly_score, s.flag, epoch_us(s.scored_at) - epoch_us(q.quoted_at) as gap_us,
-        row_number() over (partition by q.quote_id order by abs(epoch_us(s.scored_at) - epoch_us(q.quoted_at)), s.scored_at, s.score_id) as rn
-        from q join s on s.symbol = q.symbol and s.scored_at between q.quoted_at - interval 300 seconds and q.quoted_at + interval 300 seconds)"""
-
-
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     trades = table(spark, d, "trades")
     return regular_grid(cells(trades, instrument("symbol"), "ts", "price", "qty", ["delivery_id"], 300))
@@ -125,13 +102,11 @@ def p4_marks(spark: SparkSession, d: str) -> DataFrame:
     return grid.withColumn("last_price", F.when(F.col("status") == OBSERVED, F.col("last_price")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_matched": p3_matched, "p4_found": p4_found, "p4_marks": p4_marks, "p4_grid": p4_grid}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_rolling": p2_rolling, "p4_found": p4_found, "p4_marks": p4_marks, "p4_grid": p4_grid}
 SQL = {
     "p1_found": f"select delivery_id from ({P1_RANK}) where rn > 1 and symbol is not null and trade_id is not null",
     "p1_kept": f"select * exclude (rn) from ({P1_RANK}) where rn = 1 or symbol is null or trade_id is null",
     "p2_rolling": _p2_sql(),
-    "p3_found": P3_SQL + " select quote_id, score_id from j where rn = 1",
-    "p3_matched": P3_SQL + " select q.quote_id, q.symbol, j.score_id, j.anomaly_score, j.flag, j.gap_us from q left join (select * from j where rn = 1) j on j.quote_id = q.quote_id",
     "p4_found": P4_FOUND_SQL,
     "p4_marks": P4_MARKS_SQL,
     "p4_grid": P4_GRID_SQL,

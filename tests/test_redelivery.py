@@ -84,9 +84,37 @@ def test_ledger_over_batches_and_a_batch_run_again(spark, tmp_path):
 def test_unfinished_version_is_not_in_force(spark, tmp_path):
     ledger = DeliveryLedger(spark, str(tmp_path / "l"), F.col("symbol"), F.col("trade_id"), order())
     df = spark.createDataFrame([(1, None, "A", 1, 1.0)], SCHEMA)
-    (tmp_path / "l" / "v1" / "codes").mkdir(parents=True)
+    commit, ledger._commit = ledger._commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        ledger.ingest(df)
     assert ledger.version() == 0
+    ledger._commit = commit
     assert ledger.ingest(df).count() == 1 and ledger.ingest(df).count() == 0
+    ledger.remove_old(1)
+    assert ledger.ingest(df).count() == 0 and ledger.ingest(df.withColumn("trade_id", F.lit(2))).count() == 1
+
+
+def test_of_two_writers_one_commits(spark, tmp_path):
+    make = lambda: DeliveryLedger(spark, str(tmp_path / "l"), F.col("symbol"), F.col("trade_id"), order())
+    one, two = make(), make()
+    df = spark.createDataFrame([(1, None, "A", 1, 1.0), (2, None, "A", 2, 1.0)], SCHEMA)
+    version, two.version = two.version, lambda: 0  # the second writer began before the first one committed
+    one.ingest(df.where("trade_id = 1"))
+    with pytest.raises(RuntimeError):
+        two.ingest(df)
+    two.version = version
+    assert [r.trade_id for r in two.accepted(1).collect()] == [1] and [r.trade_id for r in two.ingest(df).collect()] == [2]
+
+
+def test_only_reached_shards_are_written(spark, tmp_path):
+    ledger = DeliveryLedger(spark, str(tmp_path / "l"), F.col("symbol"), F.col("trade_id"), order())
+    many = spark.createDataFrame([(i, None, "A", i << 15, 1.0) for i in range(60)], SCHEMA)
+    ledger.ingest(many)
+    before = ledger.manifest(1)["bits"]
+    ledger.ingest(spark.createDataFrame([(99, None, "A", 5, 1.0)], SCHEMA))
+    after = ledger.manifest(2)["bits"]
+    assert len(before) > 30 and sum(before[k] != after[k] for k in before) == 1
+    assert ledger.ingest(many).count() == 0
 
 
 def test_container_sparse_and_dense():

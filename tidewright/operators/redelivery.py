@@ -8,11 +8,13 @@ a bit in it. Containers are sorted arrays while sparse and bitsets when dense, a
    a third of all rows shrinks to one row a partition here, before anything is shuffled.
 2. What is left is shuffled by container; each container claims again, in arrival order, after the bits known from earlier batches.
    Rejected rows travel by a hash of their arrival and spread evenly.
-3. DeliveryLedger writes accepted rows and the united bits as one new version, and moves to it by renaming one pointer file.
+3. DeliveryLedger writes accepted rows and the united bits of the containers that a batch reaches, and moves to them by renaming one pointer file.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -135,10 +137,13 @@ def _coded(df: DataFrame, entity: Column, number: Column, order: list[Column], c
     )
 
 
-def _pass(coded: DataFrame, state: DataFrame | None, keep_bits: bool) -> DataFrame:
+def _pass(coded: DataFrame, state: DataFrame | None, keep_bits: bool, repeats: bool = True) -> DataFrame:
+    """Both claims. Without `repeats`, what the first claim rejects is dropped before the shuffle."""
     by = ["_code", "_high", "_kind", "_order"]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in coded.schema])
     local = coded.sortWithinPartitions(*by).mapInArrow(_claims(False, False), schema)
+    if not repeats:
+        local = local.where(~F.col("_repeat"))
     if state is not None:
         local = local.unionByName(state, allowMissingColumns=True)
     route = F.when(F.col("_kind") == SETTLED, F.xxhash64("_order")).otherwise(F.xxhash64("_code", "_high"))
@@ -158,18 +163,21 @@ def mark_repeats(df: DataFrame, entity: Column, number: Column, order: list[Colu
 
 def keep_one(df: DataFrame, entity: Column, number: Column, order: list[Column]) -> DataFrame:
     """df without repeats (see mark_repeats); an empty df gives an empty df."""
-    return mark_repeats(df, entity, number, order).where(~F.col("_repeat")).select("_row.*")
+    once = _pass(_coded(df, entity, number, order, dictionary(df, entity)), None, False, repeats=False)
+    return once.where(~F.col("_repeat")).select("_row.*")
 
 
 class DeliveryLedger:
-    """Seen-bitmaps that outlive a batch, in versions below `path` (a folder that all executors reach).
+    """Seen-bitmaps that outlive a batch, below `path` (a folder that all executors reach).
 
-    ingest(batch) returns the rows of the batch that no earlier batch had, one per identifier. A version has the dictionary, the bits and the
-    accepted rows; the pointer file is renamed only after all are written, so a batch that dies leaves the old version in force and can be
-    ingested again with the same result."""
+    ingest(batch) returns the rows of the batch that no earlier batch had, one per identifier. Containers live in `shards` shard files. A batch reads and writes again only
+    the shards that its containers fall into, and unpacks only the containers it reaches; its accepted rows, new dictionary entries and shard files go to a folder of
+    its own, named by no other writer. A version is a manifest that says in which folder each shard is; the pointer file with it is renamed into place after all is
+    written. A batch that dies leaves the old version in force and can be ingested again with the same result; of two writers only one moves the pointer, the other
+    fails and leaves nothing in force. With a batch number, a batch that is already in force is not ingested again: its accepted rows are returned."""
 
-    def __init__(self, spark: SparkSession, path: str, entity: Column, number: Column, order: list[Column]):
-        self.spark, self.path, self.entity, self.number, self.order = spark, path.rstrip("/"), entity, number, order
+    def __init__(self, spark: SparkSession, path: str, entity: Column, number: Column, order: list[Column], shards: int = 256):
+        self.spark, self.path, self.entity, self.number, self.order, self.shards = spark, path.rstrip("/"), entity, number, order, shards
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -180,39 +188,77 @@ class DeliveryLedger:
         names = [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return max([0, *(int(x) for x in names if x.isdigit())])
 
-    def _read(self, part: str, version: int) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{version}/{part}") if version else None
-
-    def ingest(self, batch: DataFrame) -> DataFrame:
+    def manifest(self, version: int) -> dict:
+        """batch, folder, codes (folders with dictionary entries), top (greatest code), bits (folder of each shard)."""
+        if not version:
+            return {"batch": None, "folder": None, "codes": [], "top": -1, "bits": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/pointers/{version}", wholetext=True).first()[0])
+
+    def _read(self, folders: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _committed(self, batch_id: int) -> int | None:
+        version = self.version()
+        while version:
+            batch = self.manifest(version)["batch"]
+            if batch is not None and batch <= batch_id:
+                return version if batch == batch_id else None
+            version -= 1
+        return None
+
+    def ingest(self, batch: DataFrame, batch_id: int | None = None) -> DataFrame:
+        done = self._committed(batch_id) if batch_id is not None else None
+        if done:
+            return self.accepted(done)
         old = self.version()
-        new, codes = old + 1, self._read("codes", old)
+        now = self.manifest(old)
+        own = f"{self.path}/runs/{uuid.uuid4().hex}"
         names = batch.select(self.entity.alias("_entity")).where("_entity is not null").distinct()
-        if codes is None:
-            fresh = names.withColumn("_code", F.monotonically_increasing_id())
-        else:
-            top = codes.agg(F.coalesce(F.max("_code"), F.lit(-1))).first()[0]
-            fresh = names.join(codes, "_entity", "left_anti").withColumn("_code", F.monotonically_increasing_id() + F.lit(top + 1))
-            fresh = codes.unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{self.path}/v{new}/codes")
-        coded = _coded(batch, self.entity, self.number, self.order, self._read("codes", new))
-        state = self._read("bits", old)
-        if state is not None:
-            state = state.withColumn("_kind", F.lit(STATE).cast("tinyint")).withColumn("_repeat", F.lit(False))
-        done = _pass(coded, state, True)
-        held = f"{self.path}/v{new}/pass"
-        done.write.mode("overwrite").partitionBy("_kind").parquet(held)
-        done = self.spark.read.schema(done.schema).parquet(held)
-        done.where(F.col("_kind") == STATE).select("_code", "_high", "_bits").write.mode("overwrite").parquet(f"{self.path}/v{new}/bits")
-        temporary = self._path(f"{self.path}/pointers/{new}.tmp")
-        self._fs.create(temporary, True).close()
-        if not self._fs.rename(temporary, self._path(f"{self.path}/pointers/{new}")):
-            raise RuntimeError(f"version {new} was committed by another writer")
-        return self.accepted(new)
+        kind = dict(names.dtypes)["_entity"]
+        codes = self._read(now["codes"], f"_entity {kind}, _code bigint")
+        names.join(codes, "_entity", "left_anti").withColumn("_code", F.monotonically_increasing_id() + F.lit(now["top"] + 1)).write.parquet(f"{own}/codes")
+        folders = [*now["codes"], f"{own}/codes"]
+        codes = self._read(folders, f"_entity {kind}, _code bigint")
+        shard = F.pmod(F.xxhash64("_code", "_high"), F.lit(self.shards)).cast("int")
+        coded = _coded(batch, self.entity, self.number, self.order, codes)
+        reached = small(coded.where(F.col("_kind") == CANDIDATE).select("_code", "_high").distinct().withColumn("_shard", shard))
+        touched = [r[0] for r in reached.select("_shard").distinct().collect()]  # at most `shards` numbers
+        state = self._read([now["bits"][str(k)] for k in touched if str(k) in now["bits"]], "_code bigint, _high bigint, _bits binary")
+        keys = ["_code", "_high"]
+        open_ = state.join(reached.select(*keys), keys, "left_semi").withColumn("_kind", F.lit(STATE).cast("tinyint")).withColumn("_repeat", F.lit(False))
+        passed = _pass(coded, open_, True, repeats=False).where(~F.col("_repeat"))
+        bits, row = F.col("_kind") == STATE, passed.schema["_row"].dataType
+        passed = passed.select(bits.alias("bits"), F.when(bits, shard).otherwise(0).alias("shard"), *keys, "_bits", "_row")
+        closed = state.join(reached.select(*keys), keys, "left_anti").select(F.lit(True).alias("bits"), shard.alias("shard"), *keys, "_bits", F.lit(None).cast(row).alias("_row"))
+        passed.unionByName(closed).write.partitionBy("bits", "shard").parquet(f"{own}/pass")
+        top = self._read([f"{own}/codes"], f"_entity {kind}, _code bigint").agg(F.coalesce(F.max("_code"), F.lit(now["top"]))).first()[0]
+        there = {str(k): f"{own}/pass/bits=true/shard={k}" for k in touched}
+        after = {"batch": batch_id, "folder": own, "codes": folders, "top": top, "bits": now["bits"] | there}
+        self._commit(old + 1, own, after)
+        return self.accepted(old + 1)
+
+    def _commit(self, version: int, own: str, manifest: dict) -> None:
+        temporary, pointer = self._path(f"{own}/manifest"), self._path(f"{self.path}/pointers/{version}")
+        out = self._fs.create(temporary, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.mkdirs(pointer.getParent())
+        if self._fs.exists(pointer) or not self._fs.rename(temporary, pointer):
+            raise RuntimeError(f"version {version} was committed by another writer")
 
     def accepted(self, version: int) -> DataFrame:
         """The rows that a version's batch added."""
-        rows = self.spark.read.parquet(f"{self.path}/v{version}/pass")
-        return rows.where((F.col("_kind") == SETTLED) & ~F.col("_repeat")).select("_row.*")
+        rows = self.spark.read.parquet(f"{self.manifest(version)['folder']}/pass")
+        return rows.where(~F.col("bits")).select("_row.*")
+
+    def remove_old(self, keep: int = 2) -> None:
+        """Deletes the folders that none of the `keep` newest versions names, those of dead batches too; no batch may be running."""
+        newest = [self.manifest(v) for v in range(self.version(), max(0, self.version() - keep), -1)]
+        named = {f.split("/runs/")[1].split("/")[0] for m in newest for f in [m["folder"], *m["codes"], *m["bits"].values()]}
+        at = self._path(f"{self.path}/runs")
+        for status in self._fs.listStatus(at) if self._fs.exists(at) else []:
+            if status.getPath().getName() not in named:
+                self._fs.delete(status.getPath(), True)
 
 
 def coded_identifier(df: DataFrame, identifier: Column, name: str = "_number") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.symbols import instrument
-from tidewright.operators.redelivery import keep_one, mark_repeats
+from tidewright.operators.redelivery import DeliveryLedger, keep_one, ledger_path, mark_repeats
 from tidewright.operators.regular_grid import OBSERVED, cells, regular_grid
 from tidewright.operators.trailing import trailing_totals
 from tidewright.session import table
@@ -27,6 +29,16 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return keep_one(trades, instrument("symbol"), F.col("trade_id"), _arrival())
 
 
+def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries that enter the ledger when the batches come in four parts one after the other, and the part they came with."""
+    trades = table(spark, d, "trades").select("delivery_id", "batch_id", "received_at", "symbol", "trade_id")
+    lo, hi = trades.agg(F.min("batch_id"), F.max("batch_id")).first()
+    part = F.coalesce(F.floor((F.col("batch_id") - F.lit(lo)) * 4 / F.lit((hi or 0) - (lo or 0) + 1)), F.lit(3)).cast("int")
+    ledger = DeliveryLedger(spark, ledger_path(spark), instrument("symbol"), F.col("trade_id"), _arrival())
+    kept = [ledger.ingest(trades.where(part == k), k).select("delivery_id", F.lit(k).alias("part")) for k in range(4)]
+    return functools.reduce(DataFrame.unionByName, kept)
+
+
 P1_RANK = """select *, row_number() over (partition by regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g'), trade_id
              order by received_at nulls last, delivery_id) as rn from trades"""
 
@@ -102,10 +114,13 @@ def p4_marks(spark: SparkSession, d: str) -> DataFrame:
     return grid.withColumn("last_price", F.when(F.col("status") == OBSERVED, F.col("last_price")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p2_rolling": p2_rolling, "p4_found": p4_found, "p4_marks": p4_marks, "p4_grid": p4_grid}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p1_ledger": p1_ledger, "p2_rolling": p2_rolling, "p4_found": p4_found, "p4_marks": p4_marks, "p4_grid": p4_grid}
 SQL = {
     "p1_found": f"select delivery_id from ({P1_RANK}) where rn > 1 and symbol is not null and trade_id is not null",
     "p1_kept": f"select * exclude (rn) from ({P1_RANK}) where rn = 1 or symbol is null or trade_id is null",
+    "p1_ledger": """with b as (select *, coalesce(floor((batch_id - min(batch_id) over ()) * 4 / (max(batch_id) over () - min(batch_id) over () + 1)), 3)::int as part, regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g') as i from trades),
+      r as (select *, row_number() over (partition by i, trade_id order by part, received_at nulls last, delivery_id) as rn from b)
+      select delivery_id, part from r where rn = 1 or symbol is null or trade_id is null""",
     "p2_rolling": _p2_sql(),
     "p4_found": P4_FOUND_SQL,
     "p4_marks": P4_MARKS_SQL,

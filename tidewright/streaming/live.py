@@ -26,10 +26,11 @@ def stream_bars(ticks: DataFrame, width: str = "5 minutes", late: str = "10 minu
 
 
 def stream_once(messages: DataFrame, ledger: DeliveryLedger, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch goes through the ledger; the sink gets the accepted rows and the ledger's version, so a batch that is run again after a crash can be told by it."""
+    """Each micro-batch goes through the ledger under its number; the sink gets the accepted rows and the number. A batch that is run again after a crash, before or after the
+    ledger moved, hands the sink the same rows under the same number again, so nothing is lost and an idempotent sink has each row once."""
 
-    def step(batch: DataFrame, _: int) -> None:
-        sink(ledger.ingest(batch), ledger.version())
+    def step(batch: DataFrame, number: int) -> None:
+        sink(ledger.ingest(batch, number), number)
 
     return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 

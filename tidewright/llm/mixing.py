@@ -1,16 +1,18 @@
 """Mixing sources to target weights by soft membership and projected-gradient least squares.
 
-1. One pass over the texts gives each document its size in tokens and hashed features.
-2. A naive Bayes classifier, counted over all labelled rows, predicts source posteriors of documents without a source; a labelled document belongs to
-   its source. Documents with the same (rounded) posterior form a cell; what follows needs cells only.
-3. Rates r >= 0 of the cells (expected uses of each of their documents), at most the cap, minimise the squared distance of the sources' expected tokens
-   from their targets: projected gradient with a diagonal step, one distributed pass over the cells a round for all mixes.
+1. One pass over the texts gives each document its size in tokens and, where they are needed, the classes of its fields, of a few marks of its text and of its words.
+2. A softmax regression on these classes (of words those that depend on the source beyond chance), fitted on a bounded sample of the labelled documents, predicts source posteriors of documents without a source; a labelled document
+   belongs to its source. Documents with the same posterior (to 1/1024) form a cell; what follows needs cells only.
+3. The size of a mix is its budget, or what the caps allow if every source is to have its share. Rates r >= 0 of the cells (expected uses of each of their documents), at
+   most the cap, minimise the squared distance of the sources' expected tokens from their targets: projected gradient with a diagonal step, until it stands still.
 4. A rate becomes whole uses: its whole part, and one more for the documents whose hash lies below a threshold that is set from sums of tokens by
    hash class, so that the tokens meet the rate to a few documents.
 """
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,110 +24,160 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.llm.tokens import TOKENIZERS, encode
-from tidewright.session import checkpointed, hash_sample, real, small
-
-#: Hash classes of features; the classifier's table has so many rows at most for each source.
-BUCKETS = 4096
-#: Posteriors are rounded to this part; smaller ones count as nought.
-GRAIN = 16
-ROUNDS = 30
+from tidewright.session import BROADCAST_BYTES, checkpointed, hash_sample, measured, real, small
+
+#: Classes of each field's values by hash, of each mark of the text, and of all words by hash. Fields have classes of their own, so that words cannot drown them.
+VALUES, GRADES, WORDS = 256, 16, 4096
+#: A class is used if its chi-square against the source passes this normal deviate: of fields and marks, and of words, of which the MOST_WORDS greatest count at most.
+DEVIATE, WORD_DEVIATE, MOST_WORDS = 1.0, 4.75, 64
+#: Posteriors are rounded to this part.
+GRAIN = 1024
+#: Projected gradient ends when no source's tokens move by this part of the largest target, or after so many rounds.
+STILL, ROUNDS = 1e-6, 2000
 CLASSES = 4096
 #: Most sources that an operator here accepts; it fails beyond, as tables of a row for each source go to the driver.
 MOST_SOURCES = 256
-FIELDS = ["lang", "kind_code", "mt_from", "applicant"]
+#: Columns of the documents table whose values may tell the source.
+FIELDS = ("lang", "kind_code", "mt_from", "applicant")
+#: Most labelled documents (those with the smallest hash) that the classifier is fitted on; a quarter of them chooses the penalty, and whether words are used.
+FIT_ROWS = 10_000
+PENALTIES = [3.0, 10.0, 30.0]
+#: Beside its source's target share, a source's share counts as met within this part.
+TOLERANCE = 0.02
 
 
-def features(text: str | None, fields: list) -> np.ndarray:
-    words = set((text or "").split())
-    marks = {f"{i}={v}" for i, v in enumerate(fields) if v is not None} | {f"{i}?" for i, v in enumerate(fields) if v is None}
+WIDE = re.compile(r"[\u3000-\u9fff\uac00-\ud7a3]")
+MARKS = 6
+
+
+def marks(text: str | None) -> list[int]:
+    """Grades of a text's length, line breaks, spaces, question marks, hyphenated line ends and wide characters."""
     t = text or ""
-    marks.add(f"breaks={min(9, 100 * t.count(chr(10)) // (len(t) + 1))}")
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words | marks), np.int64, len(words) + len(marks)))
+    n = len(t) + 1
+    wide = 0 if t.isascii() else 1 + bool(WIDE.search(t))
+    counts = [math.log2(n), 100 * t.count("\n") / n, 100 * t.count(" ") / n, t.count("?"), t.count("-\n"), wide]
+    return [min(GRADES - 1, int(c)) for c in counts]
 
 
-def sized(df: DataFrame, name: str, folder: str) -> DataFrame:
-    """(doc_id, source, tokens, features) of each document; features only of those without a source and, for the classifier's counts, of all."""
+def features(text: str | None, fields: list) -> np.ndarray:
+    """Classes: one of each field (null is a value of its own), one of each mark, one of each word."""
+    own = [i * VALUES + zlib.crc32(b"\0" if v is None else str(v).encode()) % VALUES for i, v in enumerate(fields)]
+    own += [len(fields) * VALUES + j * GRADES + g for j, g in enumerate(marks(text))]
+    base = len(fields) * VALUES + MARKS * GRADES
+    return np.unique(np.array(own + [base + zlib.crc32(w.encode()) % WORDS for w in set((text or "").split())], np.int32))
+
+
+def sized(df: DataFrame, name: str, folder: str, fields: tuple[str, ...] = FIELDS, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, source, tokens, sampled, features) of each document; features of those without a source and of the labelled ones that are sampled by hash, a
+    few more than `fit_rows`."""
+    share = min(1.0, (1.1 * fit_rows + 50) / max(df.count(), 1))
+    sampled = F.col("source").isNotNull() & (F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("bigint")), F.lit(1 << 40)) < int(share * (1 << 40)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            fields = list(zip(*[batch.column(3 + i).to_pylist() for i in range(len(FIELDS))]))
-            hashed = [features(t, list(f)) for t, f in zip(texts, fields)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in hashed])]).astype(np.int32)
-            flat = (np.concatenate(hashed) if hashed else np.empty(0)).astype(np.int32)
+            texts, needed = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            values = list(zip(*[batch.column(4 + i).to_pylist() for i in range(len(fields))])) or [()] * len(texts)
             size = [len(encode(t, name, folder)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "source", "tokens", "features"]
-            )
+            found = [features(t, list(v)) if s or label is None else None for t, v, s, label in zip(texts, values, needed, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), batch.column(3), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "source", "tokens", "sampled", "features"])
+
+    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", F.coalesce(sampled, F.lit(False)).alias("sampled"), *[F.col(c).cast("string").alias(c) for c in fields])
+    return rows.mapInArrow(run, "doc_id bigint, source string, tokens bigint, sampled boolean, features array<int>")
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+class Classes:
+    """The classes of several rows, end to end; only those for which `used` is true."""
+
+    def __init__(self, rows: list, used: np.ndarray):
+        kept = [f[used[f]] for f in (np.asarray(r, np.int64) for r in rows)]
+        self.size = len(kept)
+        self.flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.size), [len(k) for k in kept])
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(self.row, w[self.flat, j], self.size) for j in range(w.shape[1])], axis=1)
+
 
-    rows = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text", *[F.col(c).cast("string").alias(c) for c in FIELDS])
-    return rows.mapInArrow(run, "doc_id bigint, source string, tokens bigint, features array<int>")
+def _regress(x: Classes, y: np.ndarray, prior: np.ndarray, width: int, penalty: float, rounds: int = 120) -> np.ndarray:
+    """(width, sources): weights added to the log prior. Adaptive gradient steps on all rows, with a squared penalty."""
+    k = len(prior)
+    truth = np.eye(k)[y]
+    w, g1, g2 = (np.zeros((width, k)) for _ in range(3))
+    for step in range(1, rounds + 1):
+        gap = _softmax(prior + x.scores(w)) - truth
+        g = np.stack([np.bincount(x.flat, gap[x.row, j], width) for j in range(k)], axis=1) / x.size + penalty / x.size * w
+        g1, g2 = 0.9 * g1 + 0.1 * g, 0.99 * g2 + 0.01 * g * g
+        w -= 0.05 * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.99**step)) + 1e-8)
+    return w
 
 
-#: Features that the classifier uses: those that depend most on the source (chi-square over all labelled rows).
-KEPT = 64
-#: Rows that a feature's rate in all sources counts for beside a source's own rows.
-BACKGROUND = 50
-#: The evidence of features is divided by the temperature that held-out labels like best; correlated features would make it too sure. The last means priors only.
-TEMPERATURES = [0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 1e9]
-#: Most held-out rows (of a quarter of the labelled ones, by hash) that choose it.
-HELD_OUT = 5000
+def _depends(rows: list, y: np.ndarray, k: int, base: int, width: int, words: bool) -> np.ndarray:
+    """The classes that depend on the source beyond chance, by chi-square and its cube-root approximation; those of words (from `base` on) only if wanted."""
+    x = Classes(rows, np.ones(width, bool))
+    counts = np.bincount(x.flat * k + y[x.row], minlength=width * k).reshape(width, k)
+    n = np.bincount(y, minlength=k).astype(float)
+    expected = counts.sum(axis=1, keepdims=True) * n / n.sum()
+    chi = ((counts - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=1) / np.maximum(1 - counts.sum(axis=1) / n.sum(), 1e-6)
+    free, word = max(1, (n > 0).sum() - 1), np.arange(width) >= base
+    level = lambda z: free * (1 - 2 / (9 * free) + z * math.sqrt(2 / (9 * free))) ** 3
+    top = np.zeros(width, bool)
+    if words:
+        top[np.argsort(np.where(word, -chi, 0.0), kind="stable")[:MOST_WORDS]] = True
+    return np.where(word, top & (chi > level(WORD_DEVIATE)), chi > level(DEVIATE))
 
 
 class SourceModel:
-    """Naive Bayes over hashed features, from counts of (source, feature) over the labelled rows."""
-
-    def __init__(self, sources: list[str], rows: np.ndarray, counts: np.ndarray, temperature: float = 1.0):
-        self.sources, self.temperature = sources, temperature
-        self.prior = np.log(np.maximum(rows, 0.5) / np.maximum(rows, 0.5).sum())
-        share = (counts.sum(axis=0) + 0.5) / (rows.sum() + 1.0)
-        p = (counts + BACKGROUND * share) / (rows[:, None] + BACKGROUND)
-        expected = np.outer(rows / max(rows.sum(), 1.0), counts.sum(axis=0))
-        chi = ((counts - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1 - share, 1e-6)
-        keep = np.zeros(len(chi), bool)
-        keep[np.argsort(-chi, kind="stable")[:KEPT]] = True
-        self.weight = np.where(keep, np.log(p) - np.log1p(-p), 0.0)  # added where a feature is present
-        self.base = np.where(keep, np.log1p(-p), 0.0).sum(axis=1)
+    """Softmax regression on classes: log prior (of all labelled rows) and weights."""
+
+    def __init__(self, sources: list[str], prior: np.ndarray, weight: np.ndarray, used: np.ndarray, held_loss: float = float("nan")):
+        self.sources, self.prior, self.weight, self.used, self.held_loss = sources, prior, weight, used, held_loss
 
     @staticmethod
-    def fit(labelled: DataFrame) -> SourceModel:
-        held = (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0).alias("held")
-        rows = labelled.groupBy("source", held).agg(F.count("*").alias("n")).limit(2 * MOST_SOURCES + 1).collect()
-        sources = sorted({r["source"] for r in rows})
-        if len(sources) > MOST_SOURCES or len(rows) > 2 * MOST_SOURCES:
+    def fit(docs: DataFrame, fields: int, fit_rows: int = FIT_ROWS) -> SourceModel:
+        """From the rows of sized() that have a source and are sampled; the prior is that of all that have one."""
+        labelled = docs.where("source is not null")
+        rows = labelled.groupBy("source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+        if len(rows) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
-        at = {s: i for i, s in enumerate(sources)}
-        n, counts = np.zeros((2, len(sources))), np.zeros((2, len(sources), BUCKETS))
-        for r in rows:
-            n[int(r["held"]), at[r["source"]]] = r["n"]
-        got = labelled.select("source", held, F.explode("features").alias("f")).groupBy("source", "held", "f").count().toArrow()  # at most 2 x sources x BUCKETS rows
-        counts[np.array(got["held"].to_pylist(), int), [at[s] for s in got["source"].to_pylist()], got["f"].to_numpy()] = got["count"].to_numpy()
-        trial = SourceModel(sources, n[0], counts[0])
-        used = F.array(*[F.lit(int(f)) for f in np.flatnonzero(trial.weight.any(axis=0))])
-        judge = hash_sample(labelled.where(held).select("doc_id", "source", F.array_intersect("features", used).alias("features")), ["doc_id"], HELD_OUT, int(n[1].sum())).toArrow()
-        evidence = [(at[s], trial.base + trial.weight[:, f].sum(axis=1)) for s, f in zip(judge["source"].to_pylist(), judge["features"].to_pylist())]
-
-        def loss(t: float) -> float:
-            total = 0.0
-            for s, e in evidence:
-                z = trial.prior + e / t
-                total -= z[s] - z.max() - np.log(np.exp(z - z.max()).sum())
-            return total
-
-        return SourceModel(sources, n.sum(axis=0), counts.sum(axis=0), min(TEMPERATURES, key=loss) if evidence else TEMPERATURES[-1])
-
-    def posterior(self, features: np.ndarray) -> np.ndarray:
-        z = self.prior + (self.base + self.weight[:, features].sum(axis=1)) / self.temperature
-        p = np.exp(z - z.max())
-        return p / p.sum()
-
-    def cell(self, features: np.ndarray) -> list[int]:
-        """The posterior in parts of GRAIN that sum to GRAIN, largest remainders first."""
+        rows = sorted(rows, key=lambda r: r["source"])
+        sources, n = [r["source"] for r in rows], np.array([r["n"] for r in rows], float)
+        base = fields * VALUES + MARKS * GRADES
+        width = base + WORDS
+        used, k = np.ones(width, bool), len(sources)
+        if not k:
+            return SourceModel([], np.zeros(0), np.zeros((width, 0)), used)
+        prior = np.log(n / n.sum())
+        sample = hash_sample(labelled.where("sampled").select("doc_id", "source", "features"), ["doc_id"], fit_rows).toArrow()
+        if not len(sample):
+            return SourceModel(sources, prior, np.zeros((width, k)), used)
+        x, y = np.array(sample["features"].to_pylist(), object), np.searchsorted(sources, sample["source"].to_pylist())
+        held = np.arange(len(y)) % 4 == 0
+        losses = {}
+        for words in (False, True) if (~held).any() else ():
+            own = _depends(x[~held], y[~held], k, base, width, words)
+            fit, judge = Classes(x[~held], own), Classes(x[held], own)
+            for penalty in PENALTIES:
+                p = _softmax(prior + judge.scores(_regress(fit, y[~held], prior, width, penalty)))
+                losses[words, penalty] = float(-np.log(p[np.arange(len(p)), y[held]]).mean())
+        words, penalty = min(losses, key=losses.get, default=(False, PENALTIES[-1]))
+        used = _depends(x, y, k, base, width, words)
+        return SourceModel(sources, prior, _regress(Classes(x, used), y, prior, width, penalty), used, losses.get((words, penalty), float("nan")))
+
+    def posterior(self, features: list) -> np.ndarray:
+        """(rows, sources)."""
+        return _softmax(self.prior + Classes(features, self.used).scores(self.weight))
+
+    def cells(self, features: list) -> np.ndarray:
+        """Posteriors in parts of GRAIN that sum to GRAIN, largest remainders first."""
         p = self.posterior(features) * GRAIN
         whole = np.floor(p).astype(int)
-        for i in np.argsort(whole - p, kind="stable")[: GRAIN - whole.sum()]:
-            whole[i] += 1
-        return whole.tolist()
+        rank = np.argsort(np.argsort(whole - p, axis=1, kind="stable"), axis=1, kind="stable")
+        return whole + (rank < (GRAIN - whole.sum(axis=1))[:, None])
 
 
 def membership(docs: DataFrame, model: SourceModel) -> DataFrame:
@@ -135,15 +187,8 @@ def membership(docs: DataFrame, model: SourceModel) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cells = []
-            for s, f in zip(pdf["source"], pdf["features"]):
-                if s is not None and s == s:
-                    one = [0] * n
-                    one[sources[s]] = GRAIN
-                    cells.append(one)
-                else:
-                    cells.append(model.cell(np.asarray(f, int)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": pdf["tokens"], "cell": cells})
+            cells = model.cells(pdf["features"].tolist()).tolist() if len(pdf) else []
+            yield pdf[["doc_id", "source", "tokens"]].assign(cell=cells)
 
     none = docs.where("source is null").mapInPandas(run, "doc_id bigint, source string, tokens bigint, cell array<int>")
     index = F.create_map(*[F.lit(x) for s, i in sources.items() for x in (s, i)])
@@ -152,86 +197,123 @@ def membership(docs: DataFrame, model: SourceModel) -> DataFrame:
     return known.unionByName(none)
 
 
-def _rates(cells: pd.DataFrame, caps: np.ndarray, history: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
-    """(cells, mixes): rates after the steps whose residuals (mixes, sources) are in history, from nought."""
-    p = np.array(cells["cell"].tolist(), float).reshape(len(cells), -1) / GRAIN
-    member = p > 0
-    cap = np.where(member[:, None, :], caps[None], np.inf).min(axis=2)  # the smallest cap of the sources it may belong to
-    step = 1.0 / np.maximum(p @ tokens, 1e-12)
-    r = np.zeros((len(cells), caps.shape[0]))
-    for residual in history:
-        r = np.clip(r - step[:, None] * (p @ residual.T), 0.0, cap)
-    return r
-
-
-def rates(cells: DataFrame, targets: np.ndarray, caps: np.ndarray, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray]:
-    """The residuals of each projected-gradient round, and the tokens of each source. cells: (cell, tokens); targets, caps: (mixes, sources)."""
-    mixes, sources = targets.shape
-    part = F.posexplode("cell")
-    tokens = np.zeros(sources)
-    for r in cells.select("tokens", part).groupBy("pos").agg(F.sum(F.col("tokens") * F.col("col") / GRAIN).alias("t")).collect():
-        tokens[r["pos"]] = r["t"]
-    history: list[np.ndarray] = []
+def _parts(cells: pd.Series) -> np.ndarray:
+    return np.array(cells.tolist(), float).reshape(len(cells), -1) / GRAIN
+
+
+def _caps(p: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """(cells, mixes): the smallest cap of the sources that a cell may belong to."""
+    return np.where((p > 0)[:, None, :], caps[None], np.inf).min(axis=2)
+
+
+def _sums(cells: DataFrame, per_cell, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all cells of per_cell(frame of cells) -> array of `shape`; what reaches the driver has that shape."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(shape)
+        for pdf in batches:
+            if len(pdf):
+                total += per_cell(pdf)
+        yield pd.DataFrame({"at": range(total.size), "t": total.ravel()})
+
+    out = np.zeros(shape)
+    for r in cells.mapInPandas(run, "at int, t double").groupBy("at").agg(F.sum("t").alias("t")).collect():
+        out.ravel()[r["at"]] = r["t"]
+    return out
+
+
+def rates(cells: DataFrame, targets: np.ndarray, caps: np.ndarray, tokens: np.ndarray, rounds: int = ROUNDS, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """((cell, rate: of each mix), whether the rounds came to stand still). cells: (cell, tokens); targets, caps: (mixes, sources); tokens: expected ones of each source.
+
+    A round adds up the expected tokens of all cells and moves each rate against the gradient within its cap. Cells of at most `limit` bytes do all their rounds in one
+    task; more of them stay distributed, their rates a column between rounds. Both take the same steps."""
+    still = STILL * max(1.0, float(targets.max()))
+
+    def moved(p: np.ndarray, r: np.ndarray, residual: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        return np.clip(r - (p @ residual.T) / np.maximum(p @ tokens, 1e-12)[:, None], 0.0, cap)
+
+    cells, fits = measured(cells, limit)
+    if fits:
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = list(batches)
+            pdf = pd.concat(parts) if parts else pd.DataFrame()
+            if not len(pdf):
+                return
+            p, size = _parts(pdf["cell"]), pdf["tokens"].to_numpy(float)
+            cap, r, last, done = _caps(p, caps), np.zeros((len(pdf), len(targets))), None, False
+            for _ in range(rounds):
+                residual = (r * size[:, None]).T @ p - targets
+                if last is not None and np.abs(residual - last).max() <= still:
+                    done = True
+                    break
+                r, last = moved(p, r, residual, cap), residual
+            yield pd.DataFrame({"cell": pdf["cell"], "rate": r.tolist(), "done": done})
+
+        out = checkpointed(cells.coalesce(1).mapInPandas(whole, "cell array<int>, rate array<double>, done boolean"))
+        return out.select("cell", "rate"), not out.where("not done").limit(1).count()
+    state, last = cells.withColumn("rate", F.array(*[F.lit(0.0)] * len(targets))), None
     for _ in range(rounds):
+        residual = _sums(state, lambda pdf: (np.array(pdf["rate"].tolist()) * pdf["tokens"].to_numpy(float)[:, None]).T @ _parts(pdf["cell"]), targets.shape) - targets
+        if last is not None and np.abs(residual - last).max() <= still:
+            return state.select("cell", "rate"), True
+        last = residual
 
-        def run(batches: Iterator[pd.DataFrame], history: list[np.ndarray] = list(history)) -> Iterator[pd.DataFrame]:
-            total = np.zeros((mixes, sources))
+        def step(batches: Iterator[pd.DataFrame], residual: np.ndarray = residual) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                p = np.array(pdf["cell"].tolist(), float).reshape(len(pdf), -1) / GRAIN
-                total += (_rates(pdf, caps, history, tokens) * pdf["tokens"].to_numpy()[:, None]).T @ p
-            yield pd.DataFrame({"at": range(mixes * sources), "t": total.ravel()})
+                p = _parts(pdf["cell"])
+                yield pdf.assign(rate=moved(p, np.array(pdf["rate"].tolist()).reshape(len(pdf), -1), residual, _caps(p, caps)).tolist() if len(pdf) else [])
 
-        reached = np.zeros(mixes * sources)
-        for r in cells.mapInPandas(run, "at int, t double").groupBy("at").agg(F.sum("t").alias("t")).collect():  # mixes x sources rows
-            reached[r["at"]] = r["t"]
-        residual = reached.reshape(mixes, sources) - targets
-        if history and np.abs(residual - history[-1]).max() <= 1e-6 * max(1.0, targets.max()):
-            break
-        history.append(residual)
-    return history, tokens
+        state = checkpointed(state.mapInPandas(step, "cell array<int>, tokens bigint, rate array<double>"))
+    return state.select("cell", "rate"), False
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def mix(
+    documents: DataFrame, mix_targets: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, fields: tuple[str, ...] = FIELDS, fit_rows: int = FIT_ROWS
+) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
     selection: (mix_id, doc_id, source, tokens, uses), a row for each document that a mix uses, `uses` times. shares: (mix_id, source, target_share, reached_share,
-    target_tokens, reached_tokens, documents, most_uses, cap, status) for each row of mix_targets; tokens of documents without a source count by posterior.
-
-    A mix's size is budget_ratio times the tokens of all documents; targets are weights, divided by the sum of the mix's valid ones. Status: `met`
-    (to the size of single documents); `short` if the cap keeps the source from its target (then the rest is not handed to others, and the shares reached say so); `no target` for a missing, NaN or
-    negative share (the source is not used); `no documents`. A missing cap means one use, and so does a cap below one. Of repeated target rows the first in
-    order of (share, cap) counts. Texts without tokens are not selected. Documents repeated by doc_id must not occur. Empty documents or targets give empty results."""
+    target_tokens, reached_tokens, budget_tokens, documents, most_uses, cap, status, settled) for each row of mix_targets; tokens of documents without a source count by posterior.
+
+    target_share is the weight over the sum of the mix's weights of sources that have documents. A mix's size is budget_ratio times the tokens of all documents, or, where
+    a cap keeps a source from its share of that, the largest size at which all sources have their shares; target_tokens follow that size and budget_tokens the ratio.
+    Status, of the shares reached: `met` (within TOLERANCE of the target), `short` or `over`; `no target` for a missing, NaN, negative or zero share (the source is not
+    used); `no documents`. settled: the projected gradient came to stand still. A missing cap means one use, and so does a cap below one. Of repeated target rows the first in
+    order of (share, cap) counts. Texts without tokens are not selected. Documents repeated by doc_id must not occur. `fields` are columns whose values may
+    tell the source. Empty documents or targets give empty results."""
     spark = documents.sparkSession
-    docs = checkpointed(sized(documents, name, folder))
+    docs = checkpointed(sized(documents, name, folder, fields, fit_rows))
     total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    model = SourceModel.fit(docs.where("source is not null"))
-    share = F.when(real("target_share") >= 0, F.col("target_share"))
+    model = SourceModel.fit(docs, len(fields), fit_rows)
+    share = F.when(real("target_share") > 0, F.col("target_share"))
     rows = mix_targets.where("mix_id is not null and source is not null").select("mix_id", "source", share.alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("cap"), real("budget_ratio").alias("ratio"))
     rows = rows.orderBy("mix_id", "source", F.col("share").asc_nulls_last(), "cap").limit(MOST_SOURCES * 100 + 1).toPandas()
     if len(rows) > MOST_SOURCES * 100:
         raise ValueError("too many target rows")
     rows = rows.drop_duplicates(["mix_id", "source"])
     mixes, sources = sorted(rows["mix_id"].unique().tolist()), model.sources
-    out, kinds = "mix_id int, doc_id bigint, source string, tokens bigint, uses int", "mix_id int, source string, target_share double, reached_share double, target_tokens double, reached_tokens double, documents bigint, most_uses int, cap int, status string"
+    out = "mix_id int, doc_id bigint, source string, tokens bigint, uses int"
+    kinds = "mix_id int, source string, target_share double, reached_share double, target_tokens double, reached_tokens double, budget_tokens double, documents bigint, most_uses int, cap int, status string, settled boolean"
     if not mixes or not sources or not total:
         return spark.createDataFrame([], out), spark.createDataFrame([], kinds)
     at = {s: i for i, s in enumerate(sources)}
-    targets, caps = np.zeros((len(mixes), len(sources))), np.ones((len(mixes), len(sources)))
-    for m, own in rows.groupby("mix_id"):
-        valid = own["share"].fillna(0.0)
-        size = float(own["ratio"].dropna().max() if own["ratio"].notna().any() else 1.0) * total
-        for s, w, c in zip(own["source"], valid, own["cap"]):
-            if s in at and valid.sum() > 0:
-                targets[mixes.index(m), at[s]], caps[mixes.index(m), at[s]] = w / valid.sum() * size, c
+    shares, caps, budget = np.zeros((len(mixes), len(sources))), np.ones((len(mixes), len(sources))), np.zeros(len(mixes))
+    for i, m in enumerate(mixes):
+        own = rows[rows["mix_id"] == m]
+        budget[i] = float(own["ratio"].dropna().max() if own["ratio"].notna().any() else 1.0) * total
+        for s, w, c in zip(own["source"], own["share"].fillna(0.0), own["cap"]):
+            if s in at:
+                shares[i, at[s]], caps[i, at[s]] = w, c
     placed = checkpointed(membership(docs, model))
     cells = checkpointed(placed.where("tokens > 0").groupBy("cell").agg(F.sum("tokens").alias("tokens")))
-    history, tokens = rates(cells, targets, caps)
-
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"cell": pdf["cell"], "rate": _rates(pdf, caps, history, tokens).tolist()})
-
-    rate = checkpointed(cells.mapInPandas(final, "cell array<int>, rate array<double>"))
+    tokens = _sums(cells, lambda pdf: pdf["tokens"].to_numpy(float) @ _parts(pdf["cell"]), (len(sources),))
+    room = _sums(cells, lambda pdf: (_caps(_parts(pdf["cell"]), caps) * pdf["tokens"].to_numpy(float)[:, None]).T @ _parts(pdf["cell"]), shares.shape)
+    shares = np.where(tokens > 0, shares, 0.0)
+    shares = np.divide(shares, shares.sum(axis=1, keepdims=True), out=np.zeros_like(shares), where=shares.sum(axis=1, keepdims=True) > 0)
+    size = np.minimum(budget, np.min(np.divide(room, shares, out=np.full_like(shares, np.inf), where=shares > 0), axis=1))
+    targets = shares * np.where(np.isfinite(size), size, 0.0)[:, None]
+    rate, settled = rates(cells, targets, caps, tokens)
     # the hash of a document is the same for all mixes; thresholds come from sums of tokens by hash class
     u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
     used = placed.where("tokens > 0").withColumn("u", u).withColumn("class", F.floor(F.col("u") * CLASSES).cast("int"))
@@ -247,15 +329,20 @@ def mix(documents: DataFrame, mix_targets: DataFrame, name: str = "byte_bpe_50k"
     picked = used.join(small(checkpointed(cuts)), "cell").select(ids[F.col("m")].cast("int").alias("mix_id"), "m", "doc_id", "source", "tokens", "cell", whole.alias("uses")).where("uses > 0")
     reached = picked.select("m", "tokens", "uses", F.posexplode("cell").alias("s", "part")).where("part > 0").groupBy("m", "s")
     sizes = {(r["m"], r["s"]): r for r in reached.agg(F.sum(F.col("tokens") * F.col("uses") * F.col("part") / GRAIN).alias("t"), F.count("*").alias("n"), F.max("uses").alias("most")).collect()}
-    expected = targets + history[-1]
     report = []
     for i, m in enumerate(mixes):
         got = sum(r["t"] for (k, _), r in sizes.items() if k == i)
         own = rows[rows["mix_id"] == m]
-        weights = own["share"].fillna(0.0).sum()
-        for s, share_, cap in zip(own["source"], own["share"], own["cap"]):
-            r = sizes.get((i, at.get(s)))
-            t, target = float(r["t"]) if r else 0.0, float(targets[i, at[s]]) if s in at else None
-            status = "no target" if share_ != share_ else "no documents" if s not in at else "short" if expected[i, at[s]] < 0.98 * target else "met"
-            report.append((int(m), s, float(share_ / weights) if share_ == share_ and weights else None, t / got if got else 0.0, target, t, int(r["n"]) if r else 0, int(r["most"]) if r else 0, int(cap), status))
+        for s, wanted, cap in zip(own["source"], own["share"], own["cap"]):
+            r, j = sizes.get((i, at.get(s))), at.get(s)
+            t, share_ = float(r["t"]) if r else 0.0, float(shares[i, j]) if s in at and tokens[j] > 0 else None
+            reached_share = t / got if got else 0.0
+            if wanted != wanted:
+                status, share_ = "no target", None
+            elif share_ is None:
+                status = "no documents"
+            else:
+                status = "met" if abs(reached_share - share_) <= TOLERANCE * share_ else "short" if reached_share < share_ else "over"
+            known = share_ is not None
+            report.append((int(m), s, share_, reached_share, float(targets[i, j]) if known else None, t, float(shares[i, j] * budget[i]) if known else None, int(r["n"]) if r else 0, int(r["most"]) if r else 0, int(cap), status, settled))
     return picked.select("mix_id", "doc_id", "source", "tokens", "uses"), spark.createDataFrame(report, kinds)

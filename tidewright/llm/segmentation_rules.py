@@ -33,6 +33,8 @@ TERMINATORS = ".!?…。．！？।॥؟"
 CLOSERS = "\"'”’“»«)]）］」』】〉》}"
 
 TABLES: dict[str, list[tuple[bool, str, str]]] = {
+    # a single period inside a number or before a lower-case letter
+    "inner": [(NO, r"(?:^|[^.!?…。．！？।॥؟])\.", r"[a-zß-öø-ÿ0-9]")],
     "en": [
         (NO, r"\b[A-Z]\.[A-Z]\.", r"\s+(?:Pat|Patent|Patents|Ser|Serial|Appl|Application|Pub|Publication|Department|Government|Army|Navy|Congress|Food)\b"),
         (YES, r"\b[A-Z]\.[A-Z]\.", r"\s+[\"“(\[]?[A-Z0-9]"),
@@ -82,9 +84,9 @@ TABLES: dict[str, list[tuple[bool, str, str]]] = {
     ],
 }
 CASCADES = {
-    "en": ["default", "en", "abbr", "shared", "cased"], "de": ["default", "de", "abbr", "shared", "cased"], "fr": ["default", "fr", "abbr", "shared", "cased"], "es": ["default", "es", "abbr", "shared", "cased"],
-    "ru": ["default", "ru", "abbr", "shared", "cased"], "zh": ["zh", "default", "abbr", "shared", "uncased"], "ja": ["ja", "default", "abbr", "shared", "uncased"], "ko": ["ko", "default", "abbr", "shared", "uncased"],
-    "hi": ["hi", "default", "abbr", "shared", "uncased"], "ar": ["ar", "default", "abbr", "shared", "uncased"], "th": ["th", "default", "abbr", "shared", "uncased"],
+    "en": ["inner", "default", "en", "abbr", "shared", "cased"], "de": ["inner", "default", "de", "abbr", "shared", "cased"], "fr": ["inner", "default", "fr", "abbr", "shared", "cased"], "es": ["inner", "default", "es", "abbr", "shared", "cased"],
+    "ru": ["inner", "default", "ru", "abbr", "shared", "cased"], "zh": ["inner", "zh", "default", "abbr", "shared", "uncased"], "ja": ["inner", "ja", "default", "abbr", "shared", "uncased"], "ko": ["inner", "ko", "default", "abbr", "shared", "uncased"],
+    "hi": ["inner", "hi", "default", "abbr", "shared", "uncased"], "ar": ["inner", "ar", "default", "abbr", "shared", "uncased"], "th": ["inner", "th", "default", "abbr", "shared", "uncased"],
 }
 
 #: Frequent words that tell languages in Latin script apart.

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from tidewright.llm.segmentation_rules import RULES, block_language
 
 BLANK = re.compile(r"(?:\r\n|\n|\r|\u2028)[^\S\r\n\u2028]*(?:\r\n|\n|\r|\u2028)\s*|\u2029\s*|\f\s*")
-#: A run of terminators with what closes on it. A period inside a number or before a lower-case letter is none.
-SPOT = re.compile(r"(?:\.(?![\w&&[^A-ZÀ-Þ]])|[!?…。．！？।॥؟])".replace("(?![\\w&&[^A-ZÀ-Þ]])", "(?![a-zß-öø-ÿ0-9])") + r"[.!?…。．！？।॥؟]*[\"'”’“»«)\]）］」』〉》]*")
-SPACED_CLOSER = re.compile(r"[\u0020\u00a0\u202f]»")
-QUOTED = re.compile(r"\"[^\"]{1,400}?\"|“[^”“]{1,400}”|„[^“”„]{1,400}[“”]|«[^»«]{1,400}»|»[^«»]{1,400}«|「[^」「]{1,400}」|『[^』『]{1,400}』")
+#: A run of terminators with what closes on it; every one of them is put to the rules.
+SPOT = re.compile(r"[.!?…。．！？।॥؟]+[\"'”’“»«)\]）］」』〉》]*")
+QUOTED = re.compile(r"\"[^\"]+?\"|“[^”“]+”|„[^“”„]+[“”]|«[^»«]+»|»[^«»]+«|「[^」「]+」|『[^』『]+』")
 CLAIM = re.compile(r"(?:청구항\s*)?(\d{1,4})\s?(?:[.．、]|\))(?!\d)|【請求項\s*([0-9０-９]+)】")
 LINE_NUMBER = re.compile(r"(?<=[\n\r])[^\S\n\r]*(?=[\[［【]\d{4}[\]］】])")
 NEXT_CLAIM = re.compile(r"(?<=[\n\r])[^\S\n\r]*((?:청구항\s*)?(\d{1,4})\s?[.．、](?!\d))|\s*(【請求項\s*[0-9０-９]+】)")

@@ -146,6 +146,17 @@ def test_sequential_models():
     assert sequential.LEVELS[q.argmax(axis=1)].tolist() == [1.0, -1.0]
 
 
+def test_multinomial_is_at_its_optimum():
+    from tidewright.models.linear import multinomial
+
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(300, 4)), r.integers(3, size=300)
+    x[:, 0] += y
+    w, z = multinomial(x, y, 3, 0.05), np.column_stack([x, np.ones(300)])
+    p = np.exp(z @ w) / np.exp(z @ w).sum(axis=1, keepdims=True)
+    assert np.abs(z.T @ (p - np.eye(3)[y]) / 300 + 0.05 * w).max() < 1e-6
+
+
 def test_tail_risk_machine_descends():
     r = np.random.default_rng(4)
     paths = np.cumsum(r.normal(0, 0.2, (50, 8, 2)), axis=1)

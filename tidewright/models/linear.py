@@ -95,19 +95,22 @@ def predict(x: Column, b: np.ndarray) -> Column:
     return F.lit(float(b[0])) + dot(x, F.array(*[F.lit(float(v)) for v in b[1:]]))
 
 
-def har(df: DataFrame, x: str, log_y: str, train: Column, steps: int, at: str, lags: int = 5) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(df with `prediction`, coefficients, standard errors): log mean variance on HAR features by least squares over the train rows; back from logs with the smearing
+def har(df: DataFrame, x: str, log_y: str, train: Column, steps: int, at: str, lags: int = 5, errors_by: list[str] | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray | None]:
+    """(df with `prediction`, coefficients, standard errors if `errors_by` names the keys of a series): log mean variance on HAR features by least squares over the train rows; back from logs with the smearing
     factor mean(exp(residual)), then the root of `steps` times the mean variance, at least 1e-8. Standard errors are robust to autocorrelation up to `lags` rows
-    (Bartlett weights), from sums of lagged products along the order of `at`."""
+    (Bartlett weights), from sums of lagged products along the order of `at` within each series."""
     own = df.where(train & F.col(x).isNotNull() & F.col(log_y).isNotNull())
     q = gram(own, x, log_y)[0][1]
     b = solve(q)
     own = own.withColumn("_e", F.col(log_y) - predict(F.col(x), b))
     smear = own.agg(F.avg(F.exp("_e"))).first()[0]
-    z = own.select(at, F.transform(F.concat(F.array(F.lit(1.0)), F.col(x)), lambda v: v * F.col("_e")).alias("u"))
+    out = df.withColumn("prediction", F.greatest(F.sqrt(steps * F.exp(predict(F.col(x), b)) * smear), F.lit(1e-8)))
+    if errors_by is None:
+        return out, b, None
+    z = own.select(*errors_by, at, F.transform(F.concat(F.array(F.lit(1.0)), F.col(x)), lambda v: v * F.col("_e")).alias("u"))
     p = len(b)
     cols = [F.sum(F.get("u", F.lit(i)) * F.get(f"l{k}", F.lit(j))).alias(f"s_{k}_{i}_{j}") for k in range(lags + 1) for i in range(p) for j in range(p)]
-    z = with_frames(z, [], at, [at], lags + 1, 0, lambda w: {f"l{k}": F.lag("u", k).over(w) for k in range(lags + 1)})
+    z = with_frames(z, errors_by, at, [at], lags + 1, 0, lambda w: {f"l{k}": F.lag("u", k).over(w) for k in range(lags + 1)})
     s = z.agg(*cols).first()
     meat = np.zeros((p, p))
     for k in range(lags + 1):
@@ -115,5 +118,33 @@ def har(df: DataFrame, x: str, log_y: str, train: Column, steps: int, at: str, l
         meat += m if k == 0 else (1 - k / (lags + 1)) * (m + m.T)
     bread = np.linalg.pinv(q[:-1, :-1])
     se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread), 0))
-    out = df.withColumn("prediction", F.greatest(F.sqrt(steps * F.exp(predict(F.col(x), b)) * smear), F.lit(1e-8)))
     return out, b, se
+
+
+def multinomial(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 0.01, rounds: int = 400) -> np.ndarray:
+    """(features + 1, classes): logistic weights, the intercept's last, by accelerated gradient steps on columns of unit deviation (x must be so scaled)."""
+    z = np.column_stack([x, np.ones(len(x))])
+    truth, w, v = np.eye(classes)[y], np.zeros((z.shape[1], classes)), np.zeros((z.shape[1], classes))
+    step = 1 / (0.5 * np.linalg.norm(z, 2) ** 2 / len(z) + penalty)
+    for t in range(rounds):
+        s = z @ v
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        new = v - step * (z.T @ (e / e.sum(axis=1, keepdims=True) - truth) / len(z) + penalty * v)
+        w, v = new, new + t / (t + 3) * (new - w)
+    return w
+
+
+def shape_folds(df: DataFrame, folds: int) -> DataFrame:
+    """(id, fold, y, prediction) of each row (id, y, sig), predicted by a multinomial model fitted on the other folds, by id. A fold is one task with all rows, so it is meant for
+    bounded tables such as synthetic paths."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, test = np.array(pdf["sig"].tolist(), float), (pdf["id"] % folds == pdf["fold"]).to_numpy()
+        y = pdf["y"].to_numpy(int)
+        mean, sd = x[~test].mean(axis=0), x[~test].std(axis=0)
+        x = (x - mean) / np.where(sd < 1e-12, 1.0, sd)
+        w = multinomial(x[~test], y[~test], int(y.max()) + 1)
+        return pdf.loc[test, ["id", "fold", "y"]].assign(prediction=(np.column_stack([x[test], np.ones(test.sum())]) @ w).argmax(axis=1))
+
+    each = df.select("id", "y", "sig", F.explode(F.array(*[F.lit(k) for k in range(folds)])).alias("fold"))
+    return each.groupBy("fold").applyInPandas(run, "id bigint, fold int, y int, prediction int")

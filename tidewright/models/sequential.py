@@ -269,28 +269,32 @@ LEVELS = np.array([-1.0, 0.0, 1.0])
 FLAT = 1
 
 
-def rewards(action: int, before: int, ret: float, vol: float, cost: float, risk: float) -> float:
-    m, p = LEVELS[action], LEVELS[before]
-    return m * ret - cost * abs(m - p) - risk * (m * vol) ** 2
-
-
-def q_learn(state: np.ndarray, ret: np.ndarray, vol: np.ndarray, states: int, epochs: int = 400, gamma: float = 0.95, eps: tuple[float, float] = (0.3, 0.02), least_rate: float = 0.01, cost: float = 0.0005, risk: float = 0.1, seed: int = 0) -> np.ndarray:
-    """Table of action values. Every epoch starts from the flat position (an index, not a level)."""
+def q_learn(
+    state: np.ndarray, ret: np.ndarray, vol: np.ndarray, states: int, epochs: int = 400, gamma: float = 0.95, eps: tuple[float, float] = (0.3, 0.02), least_rate: float = 0.01,
+    cost: float = 0.0005, risk: float = 0.1, seed: int = 0, abreast: int = 40,
+) -> np.ndarray:
+    """(states, levels): table of action values from `epochs` walks along the series (fixed values: the settings above; each walk starts flat, and walks explore less and less).
+
+    `abreast` walks go side by side and share the table: at a row all are in the same market state, so a row is one array step. What its walks found for an action moves the
+    action's value towards their mean, by as much as that many single steps at the rate of one over the visits (not below `least_rate`) would."""
     rng = np.random.default_rng(seed)
-    q, visits = np.zeros((states, 3)), np.zeros((states, 3))
-    n = len(ret)
-    for epoch in range(epochs):
-        e = eps[0] + (eps[1] - eps[0]) * epoch / max(1, epochs - 1)
-        explore, pick = rng.random(n) < e, rng.integers(3, size=n)
-        before = FLAT
-        for t in range(n):
-            s = state[t]
-            a = int(pick[t]) if explore[t] else int(q[s].argmax())
-            target = rewards(a, before, ret[t], vol[t], cost, risk) + (gamma * q[state[t + 1]].max() if t + 1 < n else 0.0)
-            visits[s, a] += 1
-            q[s, a] += max(least_rate, 1 / visits[s, a]) * (target - q[s, a])
-            before = a
-    return q
+    table, visits = np.zeros((states, len(LEVELS))), np.zeros((states, len(LEVELS)))
+    gain = ret[:, None] * LEVELS - risk * (vol[:, None] * LEVELS) ** 2
+    toll = cost * np.abs(LEVELS[:, None] - LEVELS)
+    for curious in np.array_split(np.linspace(*eps, epochs), max(1, -(-epochs // abreast))):
+        walks = len(curious)
+        guess = rng.integers(len(LEVELS), size=(len(state), walks))
+        guess[rng.random(guess.shape) >= curious] = -1
+        held = np.full(walks, FLAT)
+        for row, (here, there) in enumerate(zip(state, [*state[1:], -1])):
+            chosen = np.where(guess[row] < 0, table[here].argmax(), guess[row])
+            worth = gain[row, chosen] - toll[chosen, held] + (gamma * table[there].max() if there >= 0 else 0.0)
+            tally, total = (np.bincount(chosen, v, len(LEVELS)) for v in (None, worth))
+            visits[here] += tally
+            pull = 1 - (1 - np.maximum(least_rate, 1 / np.maximum(visits[here], 1))) ** tally
+            table[here] += pull * (total / np.maximum(tally, 1) - table[here])
+            held = chosen
+    return table
 
 
 def greedy(state: np.ndarray, ret: np.ndarray, q: np.ndarray, cost: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The six shapes and their curves.
 SHAPES = ["uptrend", "downtrend", "crash_recovery", "spike_reversal", "oscillating", "flat"]
 
 

@@ -340,7 +340,7 @@ def m17_boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
     x = forecast.checkpointed(forecast.dataset(daily(spark, d), SPEC).withColumn("features", array_to_vector("x_stats")))
     cut = x.agg(F.expr("percentile_approx(ts, 0.8)")).first()[0]
-    model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=3, maxIter=500, stepSize=0.03, seed=42).fit(x.where(F.col("target_end") < F.lit(cut)))
+    model = GBTRegressor(featuresCol="features", labelCol="y", maxDepth=3, maxIter=500, stepSize=0.03, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42).fit(x.where(F.col("target_end") < F.lit(cut)))
     return model.transform(x.where(F.col("ts") >= F.lit(cut))).select("ts", "y", "prediction")
 
 
@@ -364,21 +364,22 @@ def m18_networks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m19_shape_classifier(spark: SparkSession, d: str) -> DataFrame:
-    """Multinomial logistic model on signatures of synthetic paths, on held-out paths."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    """Multinomial logistic model on signatures of 200 synthetic paths a shape: each of five folds is predicted from the other four."""
+    from tidewright.models.linear import shape_folds
 
-    s = with_signature(synthetic.synthetic_paths(spark, 60), 3).withColumn("features", array_to_vector("sig"))
-    s = forecast.checkpointed(s.withColumn("y", F.array_position(F.array(*[F.lit(x) for x in synthetic.SHAPES]), F.col("label")).cast("double") - 1).select("id", "y", "features"))
-    model = LogisticRegression(labelCol="y", maxIter=50, regParam=0.01).fit(s.where("id % 5 <> 0"))
-    return model.transform(s.where("id % 5 = 0")).select("id", "y", "prediction")
+    s = with_signature(synthetic.synthetic_paths(spark), 3)
+    y = F.array_position(F.array(*[F.lit(x) for x in synthetic.SHAPES]), F.col("label")).cast("int") - 1
+    return shape_folds(s.select("id", y.alias("y"), "sig"), 5)
 
 
 # calibration and metrics
-@query("select a.event_id, round((1 + (select count(*) from events c where c.event_id % 2 = 1 and c.value >= a.value)) / ((select count(*) from events where event_id % 2 = 1) + 1.0), 8) as p_value from events a where event_id % 2 = 0")
+@query("""with e as (select event_id, event_id % 2 as h, value from events), n as (select h, count(*) as n from e group by 1)
+  select a.event_id, round((1 + (select count(*) from e c where c.h <> a.h and c.value >= a.value)) / ((select n from n where n.h <> a.h) + 1.0), 8) as p_value from e a""")
 def m20_empirical_p(spark: SparkSession, d: str) -> DataFrame:
+    """Every event against the events of the other half."""
     e = table(spark, d, "events").select("event_id", "value")
-    return M.calibrated(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "value").select("event_id", r("p_value").alias("p_value"))
+    halves = [M.calibrated(e.where(f"event_id % 2 = {k}"), e.where(f"event_id % 2 = {1 - k}"), "value") for k in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("event_id", r("p_value").alias("p_value"))
 
 
 @query("with s as (select value, row_number() over (order by value) as i, count(*) over () as n from events where value > 0), t as (select ln(1 - i / (n + 1.0)) as y, power(value, 2.0 / 4) as x, n from s where i > floor(0.7 * n)) select round(exp(regr_intercept(y, x)), 8) as a, round(-regr_slope(y, x), 8) as b, max(n) as n from t")
@@ -468,12 +469,12 @@ def m32_bootstrap_p(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m33_synthetic_paths(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.synthetic_paths(spark, 20)
+    return synthetic.synthetic_paths(spark)
 
 
 @query()
 def x22_random_periods(spark: SparkSession, d: str) -> DataFrame:
-    return novelty.random_period_runs(tick_bars(spark, d), "trades", 10, 7 * DAY, [0.9, 0.95], [1, 5], 6 * 3600)
+    return novelty.random_period_runs(tick_bars(spark, d), "trades", 10, 7 * DAY, [0.9, 0.95, 0.975, 0.99], [1, 5], 6 * 3600)
 
 
 @query()

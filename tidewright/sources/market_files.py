@@ -26,22 +26,23 @@ def _text_rows(spark: SparkSession, path: str | list[str], columns: list[str]) -
 
 
 def _zip_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The first file of each zip archive; an archive is one task's work, and a broken one fails the read rather than leaving a silent gap."""
+    """All files of each zip archive; an archive is one task's work, and a broken one fails the read rather than leaving a silent gap."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(sorted(z.namelist())[0]) as f:
-                    for part in pd.read_csv(f, header=None, names=columns, dtype=str, chunksize=200_000):
-                        yield part
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if not n.endswith("/")):
+                        with z.open(name) as f:
+                            yield from pd.read_csv(f, header=None, names=columns, dtype=str, chunksize=200_000)
 
     files = spark.read.format("binaryFile").load(path).select("content").repartition(max(1, spark.sparkContext.defaultParallelism))
     raw = files.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
     return raw.where(F.col(columns[0]).try_cast("double").isNotNull())
 
 
-def _rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    return _zip_rows(spark, path, columns) if path.endswith(".zip") else _text_rows(spark, path, columns)
+def _rows(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+    return _zip_rows(spark, path, columns) if isinstance(path, str) and path.endswith(".zip") else _text_rows(spark, path, columns)
 
 
 def _number(c: str) -> Column:
@@ -52,7 +53,7 @@ def _flag(c: str) -> Column:
     return F.lower(F.trim(F.col(c))).try_cast("boolean")
 
 
-def read_trades(spark: SparkSession, path: str) -> DataFrame:
+def read_trades(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Ticks from CSV or zip: trade_id, price, qty, quote_qty, ts, is_buyer_maker, is_best_match. Every time is taken in the unit of its own size (microseconds
     above 1e14, else milliseconds), so files of both units mix; values that do not parse are null."""
     t = _rows(spark, path, TRADE_COLUMNS)
@@ -60,7 +61,7 @@ def read_trades(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.col("trade_id").try_cast("bigint").alias("trade_id"), *[_number(c).alias(c) for c in TRADE_COLUMNS[1:4]], at.alias("ts"), _flag("is_buyer_maker").alias("is_buyer_maker"), _flag("is_best_match").alias("is_best_match"))
 
 
-def read_klines(spark: SparkSession, path: str) -> DataFrame:
+def read_klines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Bars from CSV or zip: ts, open, high, low, close, volume, taker_buy_base, taker_sell_base, imbalance."""
     k = _rows(spark, path, KLINE_COLUMNS)
     k = k.select(epoch_instant(F.col("open_time").try_cast("bigint")).cast("timestamp_ntz").alias("ts"), *[_number(c).alias(c) for c in ("open", "high", "low", "close", "volume", "taker_buy_base")])
@@ -108,7 +109,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 SOURCES = {"trades": read_trades, "klines": read_klines, "daily": read_daily, "index": read_volatility_index, "scores": read_scores}
 
 
-def read(spark: SparkSession, source: str, path: str) -> DataFrame:
+def read(spark: SparkSession, source: str, path: str | list[str]) -> DataFrame:
     if source not in SOURCES:
         raise ValueError(f"unknown source {source}; known are {sorted(SOURCES)}")
     return SOURCES[source](spark, path)

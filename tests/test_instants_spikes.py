@@ -80,6 +80,31 @@ def test_instants_of_empty_table_and_clashing_columns(spark):
     assert to_instants(df.limit(0), "raw", F.lit(1), F.lit("UTC"), None).count() == 0
 
 
+def test_p5_found_reads_slashed_dates_as_declared_only(spark, tmp_path):
+    """A venue that declares no order, or none that is known, names no instant by a slashed date, however sure a mixture would be; all else it is read as anywhere. Nothing is fitted."""
+    import duckdb
+
+    from tidewright.queries.readings import SQL, p5_found
+
+    venues = [(1, "UTC", "dmy"), (2, NY, "mdy"), (3, TOKYO, "ymd"), (4, "UTC", None), (5, BERLIN, "DMY"), (6, None, "dmy")]
+    texts = ["05/06/2023", "25/06/2023", "06/25/2023", "23/06/05", "31/31/2023", "05/06/2023 10:00 UTC", "2023-06-05", "5.6.2023 10:00:00 EST", "1686000000", "20230605", "none", None]
+    texts += [f"{d}/{m}/2023" for d in range(13, 28) for m in range(1, 10)]
+    rows = [(1000 * (v or 9) + i, v, t) for v in (1, 2, 3, 4, 5, 6, 7, None) for i, t in enumerate(texts)]
+    half = len(rows) // 2
+    spark.createDataFrame(venues, "venue_id int, tz_name string, date_order string").write.parquet(f"{tmp_path}/venues.parquet")
+    spark.createDataFrame(rows[:half] + rows[:5], "rec_id bigint, venue_id int, ts_raw string").write.parquet(f"{tmp_path}/tick_feed.parquet")
+    spark.createDataFrame(rows[half:], "rec_id bigint, venue_id int, date_raw string").write.parquet(f"{tmp_path}/score_log.parquet")
+    duck = duckdb.connect()
+    duck.execute("set TimeZone = 'UTC'")
+    for name in ("venues", "tick_feed", "score_log"):
+        duck.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = p5_found(spark, str(tmp_path))
+    own = sorted(tuple(r) for r in found.collect())
+    assert own == sorted(duck.execute(SQL["p5_found"]).fetchall())
+    assert (1000, us(2023, 6, 5)) in own and (2000, us(2023, 5, 6, 4)) in own and (3003, us(2023, 6, 4, 15)) in own and not {4000, 4001, 4005, 5000, 7005, 9005} & {i for i, _ in own}
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 BARS = "bar_id bigint, symbol string, bar_start timestamp_ntz, open_px double, high_px double, low_px double, close_px double"
 
 
